@@ -28,9 +28,11 @@ def has_dim(v: Column, dim: int) -> Column:
 def weighted_sum(terms: list[tuple[Column, float]]) -> Column:
     """Sum of weighted vectors. The first term is required, a null later term
     adds nothing."""
-    first, weight = terms[0]
-    total = F.transform(as_doubles(first), lambda x: x * F.lit(weight))
-    for vector, w in terms[1:]:
-        added = F.zip_with(total, as_doubles(vector), lambda x, y, w=w: x + y * F.lit(w))
+    def scaled(vector: Column, weight: float) -> Column:
+        return F.transform(as_doubles(vector), lambda x: x * weight)
+
+    total = scaled(*terms[0])
+    for vector, weight in terms[1:]:
+        added = F.zip_with(total, scaled(vector, weight), lambda x, y: x + y)
         total = F.when(vector.isNull(), total).otherwise(added)
     return total

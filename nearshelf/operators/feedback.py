@@ -76,6 +76,12 @@ def suggest_names(names: DataFrame, typed: str, limit: int | None = V.SUGGESTION
 GRAM = 3
 
 
+def _pieces(text: Column, n: int) -> Column:
+    """Substrings of n letters (the text itself when it is shorter)."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1)))
+    return F.transform(starts, lambda i: F.substring(text, i, F.lit(n)))
+
+
 def autocomplete(names: DataFrame, typed: DataFrame, limit: int | None = V.SUGGESTIONS,
                  salts: int = 16) -> DataFrame:
     """suggest_names for a table of typed texts (query_id, typed): query_id,
@@ -87,11 +93,8 @@ def autocomplete(names: DataFrame, typed: DataFrame, limit: int | None = V.SUGGE
     slices, because one piece may occur in a third of all names, and every
     slice keeps only its first `limit` rows per text.
     """
-    low = F.lower("name")
     pieces = F.array_distinct(F.concat(
-        F.array(F.lit("")),
-        *[F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - (n - 1), F.lit(1))),
-                      lambda i, n=n: F.substring(low, i, F.lit(n))) for n in range(1, GRAM + 1)],
+        F.array(F.lit("")), *[_pieces(F.lower("name"), n) for n in range(1, GRAM + 1)]
     ))
     slices = names.select("name", F.pmod(F.xxhash64("name"), F.lit(salts)).alias("slice"))
     index = slices.select("name", "slice", F.explode(pieces).alias("piece"))
@@ -99,10 +102,7 @@ def autocomplete(names: DataFrame, typed: DataFrame, limit: int | None = V.SUGGE
 
     text = F.lower(strip("typed")) if limit else F.lower("typed")
     t = typed.select("query_id", text.alias("text"))
-    own = F.when(F.length("text") <= GRAM, F.array("text")).otherwise(
-        F.transform(F.sequence(F.lit(1), F.length("text") - (GRAM - 1)),
-                    lambda i: F.substring(F.col("text"), i, F.lit(GRAM)))
-    )
+    own = F.when(F.length("text") <= GRAM, F.array("text")).otherwise(_pieces(F.col("text"), GRAM))
     rarest = (
         t.select("query_id", "text", F.explode(own).alias("piece"))
         .join(frequency, "piece")

@@ -16,7 +16,9 @@ def read_names(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_names(names: DataFrame, path: str) -> None:
-    names.select("name").write.mode("overwrite").csv(path, header=True, escape='"')
+    names.select("name").write.mode("overwrite").csv(
+        path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
 
 
 def names_by_id(catalog: DataFrame, ids: DataFrame) -> DataFrame:
