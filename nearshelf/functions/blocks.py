@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CELLS_AT_ONCE = 8_000_000  # scores held at a time: 64 MB of doubles
+OUT_ROWS = 65_536
 
 
 @dataclass
@@ -137,6 +138,7 @@ def best_of_stream(batches, q: QueryBlock, k: int, dim: int, digits, payload, co
         if n_waiting > k * len(q.vectors):
             best = [keep_best(pa.concat_tables(best + waiting), q, k)]
             waiting, n_waiting = [], 0
-    if best or waiting:
-        merged = keep_best(pa.concat_tables(best + waiting), q, k)
-        yield from with_query_keys(merged, q, columns).to_batches()
+    parts = best + waiting
+    if parts:  # a single part holds at most k rows per query already
+        merged = parts[0] if len(parts) == 1 else keep_best(pa.concat_tables(parts), q, k)
+        yield from with_query_keys(merged, q, columns).to_batches(max_chunksize=OUT_ROWS)

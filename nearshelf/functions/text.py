@@ -5,6 +5,18 @@ from pyspark.sql import Column, functions as F
 from nearshelf import fixed_values as V
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once. Higher-order functions are not
+    covered by common-subexpression elimination, so a costly value used twice
+    is bound to a lambda variable."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def one_of(c: Column, fixed: list[str]) -> Column:
+    """Membership in a fixed word list, held as one constant array."""
+    return F.array_contains(F.split(F.lit("|".join(fixed)), r"\|"), c)
+
+
 def strip(c: Column) -> Column:
     """Remove Unicode whitespace at both ends."""
     return F.btrim(c, F.lit(V.WHITESPACE))
@@ -60,27 +72,23 @@ def first_year(name: Column) -> Column:
 def producer_from_name(name: Column) -> Column:
     """Producer as stored in profiles: the words after dropping one year,
     up to a region word, at most four; null for one-word names."""
-    rest = F.regexp_replace(name, "(?sU)^(.*?)" + V.YEAR, "$1")
-    ws = words(rest)
-    is_stop = F.transform(ws, lambda w: F.lower(w).isin(V.PRODUCER_STOP_WORDS))
-    stop_at = F.array_position(is_stop, F.lit(True))
-    taken = F.when(
-        stop_at > 0, F.least(stop_at - 1, F.lit(V.PRODUCER_MAX_TOKENS))
-    ).otherwise(F.lit(V.PRODUCER_MAX_TOKENS))
-    return F.when(
-        F.size(ws) > 1,
-        F.nullif(F.array_join(F.slice(ws, F.lit(1), taken.cast("int")), " "), F.lit("")),
-    )
+    def lead(ws: Column) -> Column:
+        is_stop = F.transform(ws, lambda w: one_of(F.lower(w), V.PRODUCER_STOP_WORDS))
+        before_stop = F.nullif(F.array_position(is_stop, F.lit(True)), F.lit(0)) - 1
+        n = F.least(before_stop, F.lit(V.PRODUCER_MAX_TOKENS)).cast("int")
+        return F.when(F.size(ws) > 1, F.nullif(F.array_join(F.slice(ws, F.lit(1), n), " "), F.lit("")))
+
+    return let(words(F.regexp_replace(name, "(?sU)^(.*?)" + V.YEAR, "$1")), lead)
 
 
 def _word_class(w: Column) -> Column:
     low = F.lower(w)
-    quoted = F.substring(w, 1, 1).isin(V.BRAND_QUOTES)
+    quoted = one_of(F.substring(w, 1, 1), V.BRAND_QUOTES)
     capital = w.rlike(r"^\p{Lu}") | low.startswith("st.") | low.startswith("st-")
     return (
         F.when(quoted, "q")
-        .when(low.isin(V.BRAND_OPENERS), "o")
-        .when(low.isin(V.BRAND_KEYWORDS), "k")
+        .when(one_of(low, V.BRAND_OPENERS), "o")
+        .when(one_of(low, V.BRAND_KEYWORDS), "k")
         .when(capital, "p")
         .otherwise("l")
     )
@@ -93,16 +101,23 @@ def brand_from_name(name: Column) -> Column:
     keyword, p capitalised, l other); the brand is the first run of an o or p
     followed by p's, found on the string of classes.
     """
-    all_words = words(F.coalesce(name, F.lit("")))
-    starts_with_year = F.coalesce(F.get(all_words, F.lit(0)), F.lit("")).rlike(r"^\d{4}\z")
-    ws = F.when(starts_with_year, F.slice(all_words, F.lit(2), F.size(all_words))).otherwise(all_words)
-    classes = F.array_join(F.transform(ws, _word_class), "")
-    skipped = F.length(F.regexp_extract(classes, "^([kl]*)[op]", 1))
-    run = F.length(F.regexp_extract(classes, "^[kl]*([op]p{0,%d})" % (V.BRAND_MAX_WORDS - 1), 1))
-    picked = F.array_join(F.slice(ws, skipped + 1, run), " ")
-    brand = F.lower(F.regexp_replace(F.regexp_replace(picked, r"'s?\z", ""), r",+\z", ""))
-    rejected = (F.length(brand) < 2) | brand.isin(V.BRAND_KEYWORDS) | brand.isin(V.BRAND_REGIONS)
-    return F.when(rejected, F.lit("")).otherwise(brand)
+    def without_year(ws: Column) -> Column:
+        first = F.coalesce(F.get(ws, F.lit(0)), F.lit(""))
+        return F.when(first.rlike(r"^\d{4}\z"), F.slice(ws, F.lit(2), F.size(ws))).otherwise(ws)
+
+    def pick(ws: Column) -> Column:
+        return let(F.array_join(F.transform(ws, _word_class), ""), lambda classes: F.array_join(F.slice(
+            ws,
+            F.length(F.regexp_extract(classes, "^([kl]*)[op]", 1)) + 1,
+            F.length(F.regexp_extract(classes, "^[kl]*([op]p{0,%d})" % (V.BRAND_MAX_WORDS - 1), 1)),
+        ), " "))
+
+    def accept(brand: Column) -> Column:
+        rejected = (F.length(brand) < 2) | one_of(brand, V.BRAND_KEYWORDS + V.BRAND_REGIONS)
+        return F.when(rejected, F.lit("")).otherwise(brand)
+
+    picked = let(let(words(F.coalesce(name, F.lit(""))), without_year), pick)
+    return let(F.lower(F.regexp_replace(F.regexp_replace(picked, r"'s?\z", ""), r",+\z", "")), accept)
 
 
 def known_brand(brand: Column) -> Column:

@@ -23,21 +23,20 @@ def merge_candidates(matches: DataFrame, payload: tuple[str, ...] = ()) -> DataF
     """One row per (query, id) with its best score, ordered by score; equal
     scores keep the order of first sight (variant, then rank).
 
-    Partial aggregation runs before any exchange; after cosine_topk the rows
-    already sit together by query_id and nothing moves.
+    The payload depends on the id alone, so it is part of the grouping key, and
+    what is left to aggregate has fixed width: a hash aggregate without a sort,
+    partial before any exchange. After cosine_topk the rows already sit together
+    by query_id and nothing moves.
     """
-    seen = F.min(F.struct("variant_no", "rank", *payload))
+    seen = F.shiftleft(F.col("variant_no").cast("bigint"), 32) + F.col("rank")
     per_id = (
         matches.where(F.col("id").isNotNull() & (F.col("id").cast("string") != ""))
-        .groupBy("query_id", "id")
-        .agg(F.max("score").alias("score"), seen.alias("seen"))
-    )
-    order = W.partitionBy("query_id").orderBy(
-        F.col("score").desc(), F.col("seen.variant_no"), F.col("seen.rank")
+        .groupBy("query_id", "id", *payload)
+        .agg(F.max("score").alias("score"), F.min(seen).alias("seen"))
     )
+    order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "seen")
     return per_id.select(
-        "query_id", F.row_number().over(order).alias("cand_rank"), "id", "score",
-        *[F.col(f"seen.{p}").alias(p) for p in payload],
+        "query_id", F.row_number().over(order).alias("cand_rank"), "id", "score", *payload
     )
 
 

@@ -7,7 +7,7 @@ from nearshelf.functions.text import effective_producer, strip
 from nearshelf.operators.candidates import (
     cap_per_group, combine_vectors, merge_candidates, top_per_query, without_base,
 )
-from nearshelf.operators.diversify import select_diverse
+from nearshelf.operators.diversify import select_diverse, with_item_key
 from nearshelf.operators.resolve import resolve_names
 from nearshelf.operators.search import cosine_topk, price_between
 
@@ -27,11 +27,12 @@ def similar_items(variants: DataFrame, base: DataFrame, catalog: DataFrame, k: i
     variants: query_id, variant_no, vector, price_min, price_max, up to three
     per base item; base: query_id, name, brand, embedding_text.
     """
+    payload = ("name", "brand", "item_key")
     matches = cosine_topk(
-        variants, catalog, depth or V.similar_item_depth(k), dim=dim,
-        payload=("name", "brand"), digits=digits, **search,
+        variants, with_item_key(catalog), depth or V.similar_item_depth(k), dim=dim,
+        payload=payload, digits=digits, **search,
     )
-    candidates = merge_candidates(matches, payload=("name", "brand"))
+    candidates = merge_candidates(matches, payload=payload)
     return select_diverse(candidates, base, k, max_same_as_base, max_per_producer)
 
 
