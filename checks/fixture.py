@@ -101,6 +101,11 @@ FROM {events} WHERE event_type IN ('click', 'error')
 """
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows over all cores: a driver table is one small file, hence one task."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark_sql(spark, sf_dir, CATALOG)
 
@@ -184,7 +189,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         WHEN 11 THEN '<script>var x = 1;</script>'
         ELSE {open_tag} || {other} || '</script>' || {open_tag} || product || '</script>' END"""
     url = """CASE WHEN item_no % 3 = 0 THEN '' ELSE '<META  property="og:url" content="http://shop/' || item_no || '">' END"""
-    made = spark_sql(spark, sf_dir, CATALOG).selectExpr("*", f"{product} AS product").selectExpr(
+    made = spread(spark_sql(spark, sf_dir, CATALOG), "item_no").selectExpr("*", f"{product} AS product").selectExpr(
         "'/pages/' || item_no || '.html' AS path",
         f"'<html><head>' || {url} || '</head><body>' || {blocks} || '</body></html>' AS html",
     )

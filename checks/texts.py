@@ -14,7 +14,7 @@ GUESS = guess_cte("cat")
 
 
 def _catalog(spark, sf_dir):
-    return X.catalog(spark, sf_dir)
+    return X.spread(X.catalog(spark, sf_dir), "item_no")
 
 
 @check("vintage", f"WITH {CAT} SELECT id, {year('name')} AS vintage FROM cat")
@@ -55,7 +55,7 @@ LEGACY = f"""SELECT *, CASE WHEN item_no % 4 = 1 THEN keywords END AS tags FROM
 
 
 def _legacy(spark, sf_dir):
-    rows = X.spark_sql(spark, sf_dir, LEGACY)
+    rows = X.spread(X.spark_sql(spark, sf_dir, LEGACY), "item_no")
     return rows.withColumn("keywords_list", F.split("tags", ",")).withColumnRenamed("country", "country_of_origin")
 
 

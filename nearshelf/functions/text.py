@@ -28,7 +28,7 @@ def rstrip(c: Column) -> Column:
 
 def text_or_null(c: Column) -> Column:
     """Stripped text, null when nothing is left."""
-    return F.nullif(strip(c), F.lit(""))
+    return let(strip(c), lambda t: F.when(t != "", t))
 
 
 def squeeze(c: Column) -> Column:
@@ -50,8 +50,9 @@ def clean_lines(c: Column, keep=None) -> Column:
 
 def shorten(c: Column, limit: int) -> Column:
     """Text over `limit` characters is cut, right-stripped and marked."""
-    cut = F.concat(rstrip(F.substring(c, 1, limit)), F.lit(V.ELLIPSIS))
-    return F.when(F.length(c) > limit, cut).otherwise(c)
+    return let(c, lambda t: F.when(
+        F.length(t) > limit, F.concat(rstrip(F.substring(t, 1, limit)), F.lit(V.ELLIPSIS))
+    ).otherwise(t))
 
 
 def comma_items(c: Column) -> Column:
@@ -61,7 +62,7 @@ def comma_items(c: Column) -> Column:
 
 def last_items(items: Column, n: int) -> Column:
     """The last n elements, or all when there are fewer."""
-    return F.slice(items, F.greatest(F.size(items) - (n - 1), F.lit(1)), F.lit(n))
+    return let(items, lambda xs: F.slice(xs, F.greatest(F.size(xs) - (n - 1), F.lit(1)), F.lit(n)))
 
 
 def first_year(name: Column) -> Column:

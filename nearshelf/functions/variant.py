@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, functions as F
 
-from nearshelf.functions.text import lenient_double, text_or_null
+from nearshelf.functions.text import lenient_double, let, text_or_null
 
 
 def kind(v: Column) -> Column:
@@ -19,16 +19,19 @@ def is_string(v: Column) -> Column:
 
 def text_at(v: Column, path: str) -> Column:
     """Stripped non-blank string at the path; every other type is null."""
-    at = F.try_variant_get(v, path, "variant")
-    return F.when(is_string(at), text_or_null(F.try_variant_get(v, path, "string")))
+    return let(
+        F.try_variant_get(v, path, "variant"),
+        lambda at: F.when(kind(at) == "STRING", text_or_null(F.try_variant_get(at, "$", "string"))),
+    )
 
 
 def double_at(v: Column, path: str) -> Column:
     """Number at the path: a JSON number, a boolean, or a numeric string."""
-    at = F.try_variant_get(v, path, "variant")
-    return F.when(
-        is_string(at), lenient_double(F.try_variant_get(v, path, "string"))
-    ).otherwise(F.try_variant_get(v, path, "double"))
+    return let(
+        F.try_variant_get(v, path, "variant"),
+        lambda at: F.when(kind(at) == "STRING", lenient_double(F.try_variant_get(at, "$", "string")))
+        .otherwise(F.try_variant_get(at, "$", "double")),
+    )
 
 
 def items_at(v: Column, path: str) -> Column:

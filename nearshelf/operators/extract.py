@@ -9,7 +9,7 @@ it and the JSON is not parsed a second time for them.
 from pyspark.sql import Column, DataFrame, functions as F
 
 from nearshelf import fixed_values as V
-from nearshelf.functions.text import squeeze, text_or_null
+from nearshelf.functions.text import let, squeeze, text_or_null
 from nearshelf.functions.variant import double_at, is_object, items_at, text_at
 
 
@@ -61,7 +61,7 @@ def reviews_of(product: Column) -> Column:
         F.transform(items_at(product, "$.review"), review),
         lambda r: r["review"].isNotNull() | r["rating"].isNotNull(),
     )
-    return F.when(F.size(kept) > 0, kept)
+    return let(kept, lambda rs: F.when(F.size(rs) > 0, rs))
 
 
 def aggregate_rating_of(product: Column) -> Column:

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from nearshelf import fixed_values as V
 from nearshelf.functions.text import (
-    brand_from_name, clean_lines, comma_items, last_items, squeeze, strip, text_or_null,
+    brand_from_name, clean_lines, comma_items, last_items, let, squeeze, strip, text_or_null,
 )
 
 
@@ -18,8 +18,10 @@ def style_text(profile: Column) -> Column:
             test = test & ~low.startswith(prefix)
         return test
 
-    kept = clean_lines(profile, keep=is_style)
-    return F.coalesce(F.nullif(kept, F.lit("")), profile, F.lit(""))
+    def kept_or_all(p: Column) -> Column:
+        return let(clean_lines(p, keep=is_style), lambda kept: F.when(kept != "", kept).otherwise(F.coalesce(p, F.lit(""))))
+
+    return let(profile, kept_or_all)
 
 
 def _column(df: DataFrame, name: str, type_: str = "string") -> Column:
@@ -56,8 +58,9 @@ def query_text(df: DataFrame, include_identity: bool = True) -> Column:
     ]
     built = clean_lines(F.concat_ws("\n", *parts))
     fallback = F.concat(F.lit("Basic wine entry for "), F.coalesce(name, F.lit("Unknown Wine")), F.lit("."))
-    own = stored if include_identity else style_text(stored)
-    return F.when(stored.isNotNull(), own).otherwise(F.coalesce(F.nullif(built, F.lit("")), fallback))
+    own = (lambda s: s) if include_identity else style_text
+    from_fields = let(built, lambda b: F.when(b != "", b).otherwise(fallback))
+    return let(stored, lambda s: F.when(s.isNotNull(), own(s)).otherwise(from_fields))
 
 
 def query_variants(base: DataFrame) -> DataFrame:
@@ -77,18 +80,19 @@ def query_variants(base: DataFrame) -> DataFrame:
             strip(F.concat(F.lit("Category: "), category, F.lit(". Origin: "), place, F.lit("."))),
         ),
     )
-    # at most three texts per row: duplicates are found inside the row's array
-    squeezed = F.transform(texts, lambda t: squeeze(t))
     numbered = F.transform(
-        texts,
-        lambda t, i: F.struct(
-            (i + 1).alias("variant_no"), t.alias("text"),
-            ((squeeze(t) != "") & (F.array_position(squeezed, squeeze(t)) == i + 1)).alias("first"),
-        ),
+        texts, lambda t, i: F.struct((i + 1).alias("variant_no"), t.alias("text"), squeeze(t).alias("same"))
     )
-    return base.select(
-        "query_id", F.inline(F.filter(numbered, lambda v: F.coalesce(v["first"], F.lit(False))))
-    ).select("query_id", "variant_no", "text")
+
+    # at most three texts per row: duplicates are found inside the row's array
+    def distinct(rows: Column) -> Column:
+        same = F.transform(rows, lambda r: r["same"])
+        return F.filter(
+            rows,
+            lambda r: (r["same"] != "") & (F.array_position(same, r["same"]) == r["variant_no"]),
+        )
+
+    return base.select("query_id", F.inline(let(numbered, distinct))).select("query_id", "variant_no", "text")
 
 
 def embedding_input(text: Column, version: int = 2) -> Column:
