@@ -135,6 +135,15 @@ def lossy_text(spark, sf_dir):
     return raw.select("page_id", PG.decode_text(F.col("content")).alias("html"))
 
 
+@check("page_files", "SELECT page_id, html || chr(10) AS html FROM pages")
+def page_files(spark, sf_dir):
+    """Every real page written as a file of its own and read back as a page."""
+    base = work_folder(spark, "files")
+    X.spark_sql(spark, sf_dir, "SELECT page_id, html FROM {pages}").repartition("page_id").write.partitionBy("page_id").text(base)
+    page_id = F.regexp_extract("path", r"page_id=(\d+)/", 1).cast("bigint").alias("page_id")
+    return PG.read_pages(spark, base + "/page_id=*", glob="*.txt").select(page_id, "html")
+
+
 ALL_PATHS = f"SELECT '/pages/' || cast(item_no AS string) || '.html' AS path FROM ({X.CATALOG}) c UNION ALL SELECT '/real/' || cast(page_id AS string) || '.htm' FROM {{pages}}"
 
 

@@ -9,6 +9,8 @@ from checks.sql_parts import (
 )
 from nearshelf.functions.text import item_key as key_of
 from nearshelf.operators import candidates as C, diversify as D, resolve as R, search as S
+from nearshelf.operators.query_text import query_text
+from nearshelf.operators.text_vectors import embed_texts, fit_text_vectors
 from nearshelf.plans import recommend as P
 
 DIM = X.DIM
@@ -340,3 +342,15 @@ def recommend_by_item(spark, sf_dir):
         X.spark_sql(spark, sf_dir, TYPED_WITH_BOUNDS), X.spark_sql(spark, sf_dir, ITEM_VARIANTS),
         _catalog(spark, sf_dir), K, dim=DIM, scorer="native", digits=6,
     )
+
+
+# Texts of the catalog and of the requests turned into vectors by one fitted model.
+@check("text_vector_topk")
+def text_vector_topk(spark, sf_dir):
+    cat = _catalog(spark, sf_dir).drop("embedding")
+    texts = cat.withColumn("text", query_text(cat))
+    model = fit_text_vectors(texts, dim=256)
+    asked = X.spark_sql(spark, sf_dir, "SELECT doc_id AS query_id, text FROM {documents}")
+    return P.recommend_by_text(
+        embed_texts(model, asked, out="vector"), embed_texts(model, texts), 5, dim=256, digits=6
+    )

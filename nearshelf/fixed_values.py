@@ -73,6 +73,25 @@ QUERY_TEXT_V1_CHARS = 3000
 NO_ITEM_TEXT = "No wine data available."
 NO_REVIEWS_TEXT = "No detailed reviews available."
 
+BUILT_TEXT_FALLBACK = "Basic wine entry for "
+UNNAMED_ITEM = "Unknown Wine"
+BASE_NAME_DEFAULT = "The Selected Wine"
+RECOMMENDED_NAME_DEFAULT = "This Recommendation"
+PAIR_NO_DESCRIPTION = "No desc."
+BASE_NO_DESCRIPTION = "No description."
+PAIR_DESCRIPTION_CHARS = 300
+BASE_DESCRIPTION_CHARS = 200
+PAIR_SNIPPETS = 2
+BASE_SNIPPETS = 1
+V1_UNKNOWN = "Unknown"
+V1_NO_REVIEW = "No review text"
+V1_REVIEWS = 3
+BASE_BLURB_DEFAULT = "Enjoying {base_name}? Here's what makes it special based on its profile."
+RECOMMENDED_BLURB_DEFAULT = "{rec_name} is a great pick if you like {base_name}, offering similar enjoyment."
+BASE_ONLY_BLURB_DEFAULT = "You likely enjoy {base_name} for its general characteristics and profile."
+FREE_TEXT_BASE_LABEL = "Your vibe: "
+FREE_TEXT_BASE_DESCRIPTION = "A sommelier-style prompt (not a specific bottle)."
+
 # --- taste sliders: column, low cut, high cut, low / middle / high words -----
 TASTE_SCALES = [
     ("body", 30, 70, "light-bodied", "medium-bodied", "full-bodied"),

@@ -89,23 +89,26 @@ def autocomplete(names: DataFrame, typed: DataFrame, limit: int | None = V.SUGGE
 
     Substring search becomes an equi-join: a text of three or more letters can
     only occur in names that share each of its three-letter pieces, so it is
-    joined on its rarest piece and then verified. Names are spread over `salts`
+    joined on its rarest piece and then verified; pieces nobody asks for are left
+    out of the index. Names are spread over `salts`
     slices, because one piece may occur in a third of all names, and every
     slice keeps only its first `limit` rows per text.
     """
+    text = F.lower(strip("typed")) if limit else F.lower("typed")
+    own = F.when(F.length("text") <= GRAM, F.array("text")).otherwise(_pieces(F.col("text"), GRAM))
+    asked = typed.select("query_id", text.alias("text")).select(
+        "query_id", "text", F.explode(F.array_distinct(own)).alias("piece")
+    )
     pieces = F.array_distinct(F.concat(
         F.array(F.lit("")), *[_pieces(F.lower("name"), n) for n in range(1, GRAM + 1)]
     ))
-    slices = names.select("name", F.pmod(F.xxhash64("name"), F.lit(salts)).alias("slice"))
-    index = slices.select("name", "slice", F.explode(pieces).alias("piece"))
+    index = (
+        names.select("name", F.pmod(F.xxhash64("name"), F.lit(salts)).alias("slice"), F.explode(pieces).alias("piece"))
+        .join(asked.select("piece").distinct(), "piece", "left_semi")
+    )
     frequency = index.groupBy("piece").agg(F.count("*").alias("n"))
-
-    text = F.lower(strip("typed")) if limit else F.lower("typed")
-    t = typed.select("query_id", text.alias("text"))
-    own = F.when(F.length("text") <= GRAM, F.array("text")).otherwise(_pieces(F.col("text"), GRAM))
     rarest = (
-        t.select("query_id", "text", F.explode(own).alias("piece"))
-        .join(frequency, "piece")
+        asked.join(frequency, "piece")
         .groupBy("query_id", "text")
         .agg(F.min_by("piece", F.struct("n", "piece")).alias("piece"))
         .withColumn("slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))

@@ -66,6 +66,8 @@ def _details(side: str, default_name: str, no_description: str, cut: int, snippe
     )
 
 
+PAIR_LIMITS = (V.PAIR_NO_DESCRIPTION, V.PAIR_DESCRIPTION_CHARS, V.PAIR_SNIPPETS)
+BASE_LIMITS = (V.BASE_NO_DESCRIPTION, V.BASE_DESCRIPTION_CHARS, V.BASE_SNIPPETS)
 BASE_FIELDS = ["name", "brand", "category", "country", "description", "reviews_json"]
 
 
@@ -82,10 +84,10 @@ def pair_prompts(recs: DataFrame, base: DataFrame, template: str = PAIR_TEMPLATE
     )
     rows = pairs.select(
         "query_id", "id",
-        F.coalesce("base_name", F.lit("The Selected Wine")).alias("base_name"),
-        F.coalesce("rec_name", F.lit("This Recommendation")).alias("rec_name"),
-        _details("base", "The Selected Wine", "No desc.", 300, 2).alias("base_details"),
-        _details("rec", "This Recommendation", "No desc.", 300, 2).alias("rec_details"),
+        F.coalesce("base_name", F.lit(V.BASE_NAME_DEFAULT)).alias("base_name"),
+        F.coalesce("rec_name", F.lit(V.RECOMMENDED_NAME_DEFAULT)).alias("rec_name"),
+        _details("base", V.BASE_NAME_DEFAULT, *PAIR_LIMITS).alias("base_details"),
+        _details("rec", V.RECOMMENDED_NAME_DEFAULT, *PAIR_LIMITS).alias("rec_details"),
     )
     values = {c: F.col(c) for c in ("base_name", "rec_name", "base_details", "rec_details")}
     return rows.withColumn("prompt", fill_template(template, values)).select(
@@ -97,8 +99,8 @@ def base_prompts(base: DataFrame, template: str = BASE_TEMPLATE) -> DataFrame:
     """Prompt about the base item alone: query_id, base_details, prompt."""
     rows = _side(base, "base", ["query_id"], BASE_FIELDS).select(
         "query_id",
-        F.coalesce("base_name", F.lit("The Selected Wine")).alias("base_name"),
-        _details("base", "", "No description.", 200, 1).alias("base_details"),
+        F.coalesce("base_name", F.lit(V.BASE_NAME_DEFAULT)).alias("base_name"),
+        _details("base", "", *BASE_LIMITS).alias("base_details"),
     )
     values = {c: F.col(c) for c in ("base_name", "base_details")}
     return rows.withColumn("prompt", fill_template(template, values)).select("query_id", "base_details", "prompt")
@@ -113,13 +115,13 @@ def pair_prompts_v1(recs: DataFrame, base: DataFrame, template: str = PAIR_TEMPL
     readable = parsed["base"].isNotNull() & parsed["rec"].isNotNull()
 
     def notes(side: str) -> Column:
-        listed = F.slice(F.try_variant_get(parsed[side], "$", "array<variant>"), 1, 3)
+        listed = F.slice(F.try_variant_get(parsed[side], "$", "array<variant>"), 1, V.V1_REVIEWS)
         texts = F.transform(
-            listed, lambda r: F.coalesce(F.try_variant_get(r, "$.review", "string"), F.lit("No review text"))
+            listed, lambda r: F.coalesce(F.try_variant_get(r, "$.review", "string"), F.lit(V.V1_NO_REVIEW))
         )
         return F.when(readable & texts.isNotNull(), F.to_json(texts)).otherwise(F.lit("[]"))
 
-    or_unknown = lambda c: F.coalesce(F.col(c), F.lit("Unknown"))
+    or_unknown = lambda c: F.coalesce(F.col(c), F.lit(V.V1_UNKNOWN))
     values = {
         "base_name": or_unknown("base_name"), "rec_name": or_unknown("rec_name"),
         "base_category": or_unknown("base_category"), "rec_category": or_unknown("rec_category"),
@@ -140,12 +142,9 @@ def parse_sections(responses: DataFrame) -> DataFrame:
     parts = F.split(whole, r"\|\|END_SECTION\|\|", -1)
     three = F.size(parts) == 3
     part = lambda i: F.nullif(strip(F.replace(F.get(parts, F.lit(i)), F.lit(V.SECTION_LABELS[i]), F.lit(""))), F.lit(""))
-    base_default = F.concat(
-        F.lit("Enjoying "), F.col("base_name"), F.lit("? Here's what makes it special based on its profile.")
-    )
-    rec_default = F.concat(
-        F.col("rec_name"), F.lit(" is a great pick if you like "), F.col("base_name"), F.lit(", offering similar enjoyment.")
-    )
+    names = {"base_name": F.col("base_name"), "rec_name": F.col("rec_name")}
+    base_default = fill_template(V.BASE_BLURB_DEFAULT, names)
+    rec_default = fill_template(V.RECOMMENDED_BLURB_DEFAULT, names)
     return responses.select(
         "query_id", "id",
         F.coalesce(F.when(three, part(0)), base_default).alias("base_wine_blurb"),
@@ -159,9 +158,7 @@ def parse_sections(responses: DataFrame) -> DataFrame:
 def base_blurb(responses: DataFrame) -> DataFrame:
     """Blurb of the base item, a default sentence where the answer is blank.
     responses: query_id, base_name, response."""
-    default = F.concat(
-        F.lit("You likely enjoy "), F.col("base_name"), F.lit(" for its general characteristics and profile.")
-    )
+    default = fill_template(V.BASE_ONLY_BLURB_DEFAULT, {"base_name": F.col("base_name")})
     answer = F.nullif(strip(F.col("response")), F.lit(""))
     return responses.select("query_id", F.coalesce(answer, default).alias("base_wine_blurb"))
 

@@ -57,10 +57,13 @@ def query_text(df: DataFrame, include_identity: bool = True) -> Column:
         F.when(F.size(tags) > 0, line("Tags/Keywords: ", F.array_join(last_items(tags, V.QUERY_KEYWORDS), ", "))),
     ]
     built = clean_lines(F.concat_ws("\n", *parts))
-    fallback = F.concat(F.lit("Basic wine entry for "), F.coalesce(name, F.lit("Unknown Wine")), F.lit("."))
+    fallback = F.concat(F.lit(V.BUILT_TEXT_FALLBACK), F.coalesce(name, F.lit(V.UNNAMED_ITEM)), F.lit("."))
     own = (lambda s: s) if include_identity else style_text
     from_fields = let(built, lambda b: F.when(b != "", b).otherwise(fallback))
-    return let(stored, lambda s: F.when(s.isNotNull(), own(s)).otherwise(from_fields))
+    text = let(stored, lambda s: F.when(s.isNotNull(), own(s)).otherwise(from_fields))
+    if "has_metadata" in df.columns:  # false where an id has no row behind it
+        text = F.when(F.coalesce("has_metadata", F.lit(False)), text).otherwise(F.lit(V.NO_ITEM_TEXT))
+    return text
 
 
 def query_variants(base: DataFrame) -> DataFrame:

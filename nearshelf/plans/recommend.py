@@ -45,6 +45,7 @@ def recommend_by_item(names: DataFrame, variants: DataFrame, catalog: DataFrame,
     id, variant_no, vector, the query texts' vectors of every catalog item.
     """
     resolved, _ = resolve_names(names, catalog, dim=dim, min_score=min_score, scorer=scorer, digits=digits)
+    resolved = resolved.persist()  # one row per name; read three times below
     bounds = [c for c in ("price_min", "price_max") if c in names.columns]
     text = [c for c in ("embedding_text",) if c in catalog.columns]
     base = resolved.select("query_id", "id").join(catalog.select("id", "name", "brand", *text), "id")
@@ -71,8 +72,8 @@ def recommend_by_text(requests: DataFrame, catalog: DataFrame, k: int = 8, *, di
     )
 
 
-def text_as_base(requests: DataFrame, label: str = "Your vibe: ", brand: str = "Free text",
-                 description: str = "A sommelier-style prompt (not a specific bottle).") -> DataFrame:
+def text_as_base(requests: DataFrame, label: str = V.FREE_TEXT_BASE_LABEL, brand: str = "Free text",
+                 description: str = V.FREE_TEXT_BASE_DESCRIPTION) -> DataFrame:
     """Stand-in base row of a free-text request."""
     text = strip(F.col("text"))
     return requests.where(F.coalesce(text, F.lit("")) != "").select(

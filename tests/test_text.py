@@ -71,6 +71,8 @@ def test_query_text_fallbacks(spark):
     assert got[0] == "Basic wine entry for Unknown Wine."
     assert got[1] == "Wine: 2015 Red Hill.\nProducer: red hill.\nTags/Keywords: k2, k3, k4, k5, k6, k7, k8, k9."
     assert got[2] == "Name: y\nNotes"
+    absent = rows.withColumn("has_metadata", F.col("i") > 1)
+    assert absent.select(Q.query_text(absent).alias("t")).first().t == "No wine data available."
 
 
 def test_taste_cuts(spark):
