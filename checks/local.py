@@ -11,7 +11,7 @@ def session(cpus: str | None = None) -> SparkSession:
         SparkSession.builder.master(f"local[{cpus}]").appName("nearshelf")
         .config("spark.sql.shuffle.partitions", cpus if cpus.isdigit() else "8")
         .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.driver.memory", "8g")
+        .config("spark.driver.memory", "12g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
