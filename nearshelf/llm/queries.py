@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from nearshelf.llm.quality_rules import quality_rules
 from nearshelf.llm.sql import OP2
+from nearshelf.llm.token_shards import read_documents, write_token_shards
+from nearshelf.session import work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,3 +32,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "js_chars", "js_common", "kept")
+
+
+@query()
+def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    out = work_folder(spark, "tokens")
+    write_token_shards(documents(spark, sf_dir), out, tokenizer_path=public_tokenizers.path("byte_bpe_50k.json"))
+    return read_documents(spark, out)
