@@ -1,7 +1,7 @@
 """Quality rules: repetition and length, then divergence from the language's own histograms.
 
 Everything is a column expression on the row of a document. The language references
-are a few dozen sums, gathered by one aggregate over all documents.
+are a few dozen sums, gathered by one aggregate over the counts of all documents.
 """
 
 from collections.abc import Mapping, Sequence
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearshelf.llm.text import GAPS, total, words
+from nearshelf.session import work_folder
 
 # The most common function words of each language.
 COMMON_WORDS: dict[str, tuple[str, ...]] = {
@@ -93,36 +94,54 @@ def _base(docs: DataFrame, text: str, lang: str) -> DataFrame:
     return df.withColumn("_words", words(F.col("_text"))).withColumn("n_words", F.size("_words").cast("bigint"))
 
 
-def language_references(docs: DataFrame, *, common: Mapping[str, Sequence[str]] = COMMON_WORDS, min_words: int = 50,
-                        text: str = "text", lang: str = "lang") -> DataFrame:
+def rule_features(docs: DataFrame, *, common: Mapping[str, Sequence[str]] = COMMON_WORDS, text: str = "text", lang: str = "lang") -> DataFrame:
+    """docs with the counts of the base rules, _lang (a listed language or "") and the histograms _chars and _common."""
+    df = _histograms(_base(docs, text, lang), common)
+    lines = F.filter(F.split("_text", "\n"), lambda x: F.length(F.trim(x, F.lit(GAPS))) > 0)
+    df = df.withColumns({
+        "word_chars": F.length(F.array_join("_words", "")).cast("bigint"),
+        "n_symbols": (F.length("_text") - F.length(F.regexp_replace("_text", "[#*$%&|<>]+", ""))).cast("bigint"),
+        "_lines": lines,
+    })
+    df = df.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint"))
+    return _repeated_words(df).drop("_text", "_words", "_lines")
+
+
+def language_references(features: DataFrame, *, common: Mapping[str, Sequence[str]] = COMMON_WORDS, min_words: int = 50) -> DataFrame:
     """One row per listed language (and "" for all others): summed histograms of all its
     documents of min_words words or more, as ref_chars and ref_common."""
-    df = _histograms(_base(docs.select(text, lang), text, lang).where(F.col("n_words") >= min_words), common)
     sizes = {"_chars": len(CLASSES) + 1, "_common": 1 + max(map(len, common.values()), default=0)}
-    return df.groupBy("_lang").agg(*[
+    return features.where(F.col("n_words") >= min_words).groupBy("_lang").agg(*[
         F.array(*[F.coalesce(F.sum(F.get(c, F.lit(i))), F.lit(0.0)) for i in range(n)]).alias("ref" + c) for c, n in sizes.items()])
 
 
-def quality_rules(docs: DataFrame, *, common: Mapping[str, Sequence[str]] = COMMON_WORDS, min_words: int = 50,
-                  max_repeat_percent: int = 50, compare_from: int = 80, max_chars: float = 0.35, max_common: float = 0.45,
-                  text: str = "text", lang: str = "lang") -> DataFrame:
+def quality_rules(docs: DataFrame, *, keep: Sequence[str] | None = None, common: Mapping[str, Sequence[str]] = COMMON_WORDS,
+                  min_words: int = 50, max_repeat_percent: int = 50, compare_from: int = 80, max_chars: float = 0.35,
+                  max_common: float = 0.45, text: str = "text", lang: str = "lang") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, js_chars, js_common, kept.
 
     A document fails the base rules with fewer than min_words words, or more than
     max_repeat_percent of its words in repeated 3-word windows. Otherwise, from
     compare_from words on, it is rejected if its Jensen-Shannon distance to the
     reference of its language is over max_chars (character classes) or max_common
-    (common words). The references are sums over all documents.
+    (common words). The references are sums over all documents. Counts and histograms
+    are written once to the shared folder, with the columns of docs named in keep
+    (all of them by default), so no text is read twice.
 
     Null text counts as empty and fails. A null or unlisted language is compared with
     all such documents, by characters only. One row comes out per row that goes in,
-    repeated ones too; other columns stay. Columns with the names made here, or that
-    start with an underscore, are replaced.
+    repeated ones too. Columns of docs with the names made here, or that start with
+    an underscore, are replaced.
     """
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "js_chars", "js_common", "kept"]
     docs = docs.drop(*made, *[c for c in docs.columns if c.startswith("_")])
+    keep = docs.columns if keep is None else list(keep)
+    folder = work_folder(docs.sparkSession, "quality")
+    features = rule_features(docs, common=common, text=text, lang=lang)
+    features.select(*keep, "_lang", "_chars", "_common", *made[:5]).write.parquet(folder)
+    df = docs.sparkSession.read.parquet(folder)
     # A row per listed language and one more: bounded by the word lists, whatever the corpus.
-    refs = {r["_lang"]: r for r in language_references(docs, common=common, min_words=min_words, text=text, lang=lang).collect()}
+    refs = {r["_lang"]: r for r in language_references(df, common=common, min_words=min_words).collect()}
 
     def reference(column: str) -> Column:
         known = [(k, r[column]) for k, r in sorted(refs.items())]
@@ -132,19 +151,10 @@ def quality_rules(docs: DataFrame, *, common: Mapping[str, Sequence[str]] = COMM
         return F.slice(F.coalesce(F.element_at(of, F.col("_lang")), F.array().cast("array<double>")), 1,
                        F.size("_chars" if column == "ref_chars" else "_common"))
 
-    df = _histograms(_base(docs, text, lang), common)
-    lines = F.filter(F.split("_text", "\n"), lambda x: F.length(F.trim(x, F.lit(GAPS))) > 0)
-    df = df.withColumns({
-        "word_chars": F.length(F.array_join("_words", "")).cast("bigint"),
-        "n_symbols": (F.length("_text") - F.length(F.regexp_replace("_text", "[#*$%&|<>]+", ""))).cast("bigint"),
-        "_lines": lines,
-    })
-    df = df.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint"))
-    df = _repeated_words(df)
     df = df.withColumns({
         "base_failed": (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")),
         "js_chars": F.round(_distance(F.col("_chars"), reference("ref_chars")), 6),
         "js_common": F.round(_distance(F.col("_common"), reference("ref_common")), 6),
     })
     far = (F.col("n_words") >= compare_from) & ((F.col("js_chars") > max_chars) | (F.col("js_common") > max_common))
-    return df.withColumn("kept", ~F.col("base_failed") & ~far).select(*docs.columns, *made)
+    return df.withColumn("kept", ~F.col("base_failed") & ~far).select(*keep, *made)

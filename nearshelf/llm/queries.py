@@ -30,7 +30,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(OP2)
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(documents(spark, sf_dir)).select(
+    return quality_rules(documents(spark, sf_dir), keep=["doc_id"]).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "js_chars", "js_common", "kept")
 
 
