@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearshelf.llm.quality_rules import quality_rules
-from nearshelf.llm.sql import OP2
+from nearshelf.llm.secret_scan import scan_secrets, spans_text
+from nearshelf.llm.sql import OP2, OP9
 from nearshelf.llm.token_shards import read_documents, write_token_shards
 from nearshelf.session import work_folder
 
@@ -41,3 +42,15 @@ def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = work_folder(spark, "tokens")
     write_token_shards(documents(spark, sf_dir), out, tokenizer_path=public_tokenizers.path("byte_bpe_50k.json"))
     return read_documents(spark, out)
+
+
+@query(OP9)
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(documents(spark, sf_dir))
+
+    def count(kind):
+        return F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    return found.select("doc_id", count("assign"), count("access"), count("hex"),
+                        F.sha2(spans_text(F.col("base_spans")), 256).alias("base_sha256"),
+                        spans_text(F.col("spans")).alias("spans"))

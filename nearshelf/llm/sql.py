@@ -1,6 +1,7 @@
 """DuckDB SQL that registered queries must equal."""
 
 from nearshelf.llm.quality_rules import COMMON_WORDS
+from nearshelf.llm.secret_scan import BASE, MORE
 
 WORD = r"[^\x20\x09-\x0D]+"
 GAPS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -55,3 +56,27 @@ FROM m"""
 
 
 OP2 = _quality(50, 50, 80, 0.35, 0.45)
+
+
+def _secrets() -> str:
+    def spans(rule, order: int) -> str:
+        p = "'" + rule.pattern.replace("'", "''") + "'"
+        return f"""
+  SELECT rid, unnest(list_filter(list_transform(range(1, len(m) + 1), lambda i: {{
+      'start': list_sum(list_transform(r[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0),
+      'size': length(m[i]), 'ok': length(g[i]) >= {rule.least}}}), lambda s: s.ok)) AS s, {order} AS o, '{rule.kind}' AS kind
+  FROM (SELECT rid, string_split_regex(text, {p}) AS r, regexp_extract_all(text, {p}) AS m, regexp_extract_all(text, {p}, {rule.group}) AS g FROM d)"""
+
+    union = " UNION ALL ".join(spans(r, n) for n, r in enumerate([*BASE, *MORE]))
+    listed = "string_agg(kind || ':' || (s.start)::BIGINT || ':' || (s.start + s.size)::BIGINT, ',' ORDER BY s.start, o)"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+found AS ({union}),
+f AS (SELECT rid, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS k, count(*) FILTER (kind = 'hex') AS h,
+  {listed} FILTER (o < {len(BASE)}) AS base, {listed} AS spans FROM found GROUP BY rid)
+SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(k, 0)::BIGINT AS n_access, coalesce(h, 0)::BIGINT AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN f USING (rid)"""
+
+
+OP9 = _secrets()
