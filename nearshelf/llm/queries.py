@@ -5,9 +5,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nearshelf.llm.line_dedup import dedup_lines
 from nearshelf.llm.quality_rules import quality_rules
 from nearshelf.llm.secret_scan import scan_secrets, spans_text
-from nearshelf.llm.sql import OP2, OP9
+from nearshelf.llm.sql import OP2, OP5, OP9
 from nearshelf.llm.token_shards import read_documents, write_token_shards
 from nearshelf.session import work_folder
 
@@ -44,6 +45,12 @@ def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(spark, out)
 
 
+@query(OP5)
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_copies", "n_near", F.sha2("text", 256).alias("text_sha256"))
+
+
 @query(OP9)
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(documents(spark, sf_dir))

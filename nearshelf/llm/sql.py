@@ -80,3 +80,24 @@ FROM d LEFT JOIN f USING (rid)"""
 
 
 OP9 = _secrets()
+
+
+def _line_dedup(min_words: int) -> str:
+    return f"""
+WITH parts AS (SELECT doc_id, unnest(range(0, len(l))) AS line_no, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
+lines AS (SELECT doc_id, line_no, regexp_extract_all(line, '{WORD}') AS w FROM parts),
+placed AS (SELECT *, min((doc_id, line_no)) OVER (PARTITION BY w) AS firstly FROM lines WHERE len(w) > 0),
+firsts AS (SELECT * FROM placed WHERE (doc_id, line_no) = firstly AND len(w) >= {min_words}),
+members AS (
+  SELECT doc_id, line_no, p, list_concat(w[1:p], w[p + 2:]) AS v FROM (SELECT *, unnest(range(0, len(w))) AS p FROM firsts)
+  UNION ALL SELECT doc_id, line_no, p, w FROM (SELECT *, unnest(range(0, len(w) + 1)) AS p FROM firsts)),
+near AS (SELECT DISTINCT doc_id, line_no FROM (SELECT *, min((doc_id, line_no)) OVER (PARTITION BY p, v) AS earliest FROM members) WHERE (doc_id, line_no) > earliest),
+kinds AS (
+  SELECT doc_id, line_no, CASE WHEN (doc_id, line_no) > firstly THEN 'copy' WHEN n.line_no IS NOT NULL THEN 'near' END AS kind
+  FROM placed LEFT JOIN near n USING (doc_id, line_no))
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (kind = 'copy')::BIGINT AS n_copies, count(*) FILTER (kind = 'near')::BIGINT AS n_near,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (kind IS NULL), '')) AS text_sha256
+FROM parts LEFT JOIN kinds USING (doc_id, line_no) GROUP BY doc_id"""
+
+
+OP5 = _line_dedup(5)
