@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearshelf.llm.line_dedup import dedup_lines
+from nearshelf.llm.mixing import mix_sources
 from nearshelf.llm.quality_rules import quality_rules
 from nearshelf.llm.secret_scan import scan_secrets, spans_text
 from nearshelf.llm.sql import OP2, OP5, OP9
 from nearshelf.llm.token_shards import read_documents, write_token_shards
+from nearshelf.llm.url_filter import filter_urls
 from nearshelf.session import work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +47,11 @@ def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(spark, out)
 
 
+@query()
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "host", "path", "rule", "verdict", "block_score")
+
+
 @query(OP5)
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
@@ -61,3 +68,8 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"),
                         F.sha2(spans_text(F.col("base_spans")), 256).alias("base_sha256"),
                         spans_text(F.col("spans")).alias("spans"))
+
+
+@query()
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
