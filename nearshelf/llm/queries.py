@@ -5,6 +5,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nearshelf.llm.decontaminate import find_contamination
+from nearshelf.llm.language_id import identify_language
 from nearshelf.llm.line_dedup import dedup_lines
 from nearshelf.llm.mixing import mix_sources
 from nearshelf.llm.quality_rules import quality_rules
@@ -58,6 +60,18 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_copies", "n_near", F.sha2("text", 256).alias("text_sha256"))
 
 
+@query()
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@query()
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return identify_language(documents(spark, sf_dir), model=public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query(OP9)
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(documents(spark, sf_dir))
