@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearshelf.llm.decontaminate import find_contamination
+from nearshelf.llm.jaccard_join import similar_components
 from nearshelf.llm.language_id import identify_language
 from nearshelf.llm.line_dedup import dedup_lines
 from nearshelf.llm.mixing import mix_sources
@@ -34,6 +35,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@query()
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_components(documents(spark, sf_dir), width=4, percent=85)
+
+
 @query(OP2)
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir), keep=["doc_id"]).select(
