@@ -13,6 +13,7 @@ from nearshelf.llm.mixing import mix_sources
 from nearshelf.llm.quality_rules import quality_rules
 from nearshelf.llm.secret_scan import scan_secrets, spans_text
 from nearshelf.llm.sql import OP2, OP5, OP9
+from nearshelf.llm.suffix_dedup import repeated_bytes
 from nearshelf.llm.token_shards import read_documents, write_token_shards
 from nearshelf.llm.url_filter import filter_urls
 from nearshelf.session import work_folder
@@ -71,6 +72,11 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@query()
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_bytes(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @query()
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
