@@ -7,7 +7,7 @@ over all documents, and the new rates are an expression of the old ones.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
@@ -35,15 +35,16 @@ def _terms(docs: DataFrame, features: int) -> DataFrame:
     return HashingTF(numFeatures=features, binary=True, inputCol="_words", outputCol="terms").transform(df).drop("_words")
 
 
-def domain_posteriors(docs: DataFrame, labels: DataFrame, *, domains: list[str], fit_rows: int = 8_000, features: int = 1 << 15) -> DataFrame:
-    """doc_id, n_tokens, posterior (one probability per domain, in order) of every row of docs.
+def domain_posteriors(docs: DataFrame, labels: DataFrame, *, domains: list[str], carry: Sequence[str] = (), fit_rows: int = 8_000,
+                      features: int = 1 << 15) -> DataFrame:
+    """doc_id, carry, n_tokens, posterior (one probability per domain, in order) of every row of docs.
 
     A multinomial logistic regression on word sets, fitted on fit_rows labelled documents
     at most, those with the smallest hash of their doc_id. Labels without quality are
     left out; of several for one document, toxic and low quality prevail. Without
     labelled documents all domains are equally likely.
     """
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", *carry, "text")
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(
         F.min("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
     chosen = written(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows), "mix-labels")
@@ -54,17 +55,17 @@ def domain_posteriors(docs: DataFrame, labels: DataFrame, *, domains: list[str],
     kinds = {r["label"] for r in sample.select("label").distinct().collect()}
     if len(kinds) < 2:
         even = [1.0 / len(domains)] * len(domains) if not kinds else [float(k in kinds) for k in range(len(domains))]
-        return _terms(docs, features).select("doc_id", "n_tokens", F.array(*map(F.lit, even)).alias("posterior"))
+        return _terms(docs, features).select("doc_id", *carry, "n_tokens", F.array(*map(F.lit, even)).alias("posterior"))
     model = LogisticRegression(family="multinomial", maxIter=30, regParam=0.01, featuresCol="terms").fit(sample)
     model.setProbabilityCol("probability")
     out = model.transform(_terms(docs, features)).withColumn("posterior", vector_to_array("probability"))
     width = model.numClasses
     padded = F.concat("posterior", F.array(*[F.lit(0.0)] * (len(domains) - width))) if width < len(domains) else F.col("posterior")
-    return out.select("doc_id", "n_tokens", padded.alias("posterior"))
+    return out.select("doc_id", *carry, "n_tokens", padded.alias("posterior"))
 
 
-def fit_rates(members: DataFrame, weights: Mapping[str, float], *, tokens: int | None = None, steps: int = 40, every: int = 8,
-              tolerance: float = 1e-4) -> DataFrame:
+def fit_rates(members: DataFrame, weights: Mapping[str, float], *, tokens: int | None = None, whole: str | None = None, steps: int = 40,
+              every: int = 8, tolerance: float = 1e-4) -> DataFrame:
     """members (n_tokens, posterior and any other columns) with rate.
 
     Minimises the squared gaps between expected domain totals and their targets (weight
@@ -73,6 +74,7 @@ def fit_rates(members: DataFrame, weights: Mapping[str, float], *, tokens: int |
     From rate 1 on, steps follow the projected gradient in the metric of document
     tokens, in which the step of length 1 never overshoots. They end when no gap is over
     tolerance times tokens, or after steps of them. Rates are written every few steps.
+    If whole names a domain, tokens are raised so far that its target is its size or more.
     """
     names, n = list(weights), len(weights)
     total_weight = sum(weights.values()) or 1.0
@@ -83,7 +85,10 @@ def fit_rates(members: DataFrame, weights: Mapping[str, float], *, tokens: int |
     sums = state.agg(*[F.coalesce(F.sum(F.col("n_tokens") * x), F.lit(0.0)).alias(str(k)) for k, x in enumerate(p)]).first()
     sizes = [float(x) for x in sums]
     everything = sum(sizes)
-    aim = [weights[name] / total_weight * float(tokens if tokens is not None else everything) for name in names]
+    asked = float(tokens if tokens is not None else everything)
+    if whole is not None and weights[whole] > 0:
+        asked = max(asked, sizes[names.index(whole)] * total_weight / weights[whole])
+    aim = [weights[name] / total_weight * asked for name in names]
     rate = F.when(F.col("_free"), F.col("rate")).otherwise(0.0)
     for step in range(1, steps + 1):
         now = state.agg(*[F.coalesce(F.sum(F.col("n_tokens") * x * rate), F.lit(0.0)).alias(str(k)) for k, x in enumerate(p)]).first()
@@ -99,8 +104,8 @@ def fit_rates(members: DataFrame, weights: Mapping[str, float], *, tokens: int |
 
 
 def mix_sources(docs: DataFrame, labels: DataFrame, *, weights: Mapping[str, float] = WEIGHTS, tokens: int | None = None,
-                fit_rows: int = 8_000, features: int = 1 << 15) -> DataFrame:
-    """doc_id, n_tokens, posterior, domain (the most likely), rate, kept.
+                whole: str | None = None, carry: Sequence[str] = (), fit_rows: int = 8_000, features: int = 1 << 15) -> DataFrame:
+    """doc_id, carry, n_tokens, posterior, domain (the most likely), rate, kept.
 
     kept draws the document with probability min(rate, 1), by a hash of its doc_id; a
     rate over 1 asks for repeated reading. One row comes out per row that goes in;
@@ -108,8 +113,8 @@ def mix_sources(docs: DataFrame, labels: DataFrame, *, weights: Mapping[str, flo
     nothing in the totals. No row, no result.
     """
     domains = list(weights)
-    members = domain_posteriors(docs, labels, domains=domains, fit_rows=fit_rows, features=features)
-    rated = fit_rates(members, weights, tokens=tokens)
+    members = domain_posteriors(docs, labels, domains=domains, carry=carry, fit_rows=fit_rows, features=features)
+    rated = fit_rates(members, weights, tokens=tokens, whole=whole)
     draw = F.pmod(F.xxhash64(F.lit("mix"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     domain = F.get(F.array(*map(F.lit, domains)), (F.array_position(F.col("posterior"), F.array_max("posterior")) - 1).cast("int"))
-    return rated.select("doc_id", "n_tokens", "posterior", domain.alias("domain"), "rate", (draw < F.col("rate")).alias("kept"))
+    return rated.select("doc_id", *carry, "n_tokens", "posterior", domain.alias("domain"), "rate", (draw < F.col("rate")).alias("kept"))
