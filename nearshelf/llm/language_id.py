@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from nearshelf.llm.batches import slices
+from nearshelf.llm.tables import small, written
 from nearshelf.llm.worker import kept
 
 #: Words are cut into parts of this many letters at most; the mark that begins a word is extra.
@@ -22,8 +24,7 @@ MARK = "▁"
 #: Probability of a letter outside the vocabulary, and what a letter's probability is scaled by to stay in range.
 FLOOR, SCALE = 1e-7, 500.0
 #: Distinct words a worker remembers before it starts anew.
-REMEMBERED = 400_000
-CHUNK = 16_000_000
+REMEMBERED = 250_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -93,9 +94,11 @@ def learn_pieces(docs: DataFrame, *, model: str, docs_per_language: int = 1_500,
     smallest hash of their doc_id, never from held-out ones.
     """
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(F.col(doc_id)))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    ids = rows.select(F.col(lang).cast("string").alias("lang"), F.col(doc_id).alias("doc_id")).distinct()
+    ids = written(ids.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= docs_per_language).select("lang", "doc_id"), "language-sample")
     rows = rows.select(F.col(lang).cast("string").alias("lang"), F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    narrow = rows.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= docs_per_language)
+    narrow = rows.join(small(ids), ["lang", "doc_id"])
 
     def count(batches: Iterator) -> Iterator:
         from collections import Counter
@@ -150,37 +153,33 @@ def identify_language(docs: DataFrame, *, model: str, docs_per_language: int = 1
 
         pieces, languages, table = shared.value
         finder, numbers, logs = Pieces(pieces), {}, np.zeros((0, len(languages)))
-        for batch in batches:
+        for batch in slices(batches):
             texts = pc.fill_null(batch.column("text").cast(pa.large_string()), "")
-            size, a = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)), 0
-            while a < len(texts):
-                b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + CHUNK, "right")))
-                bare = pc.utf8_trim(pc.replace_substring_regex(pc.utf8_lower(texts.slice(a, b - a)), r"[^\p{L}]+", " "), " ")
-                split = pc.split_pattern(bare, " ")
-                coded = split.flatten().dictionary_encode()
-                words = coded.dictionary.to_pylist()
-                if len(numbers) > REMEMBERED:
-                    numbers, logs = {}, logs[:0]
-                new = [w for w in words if w and w not in numbers]
-                if new and languages:
-                    parts = [p for w in new for p in _parts(w)]
-                    found = finder.log_likelihoods(parts, table)
-                    first = np.cumsum([0] + [len(_parts(w)) for w in new[:-1]])
-                    numbers.update(zip(new, range(len(logs), len(logs) + len(new))))
-                    logs = np.concatenate((logs, np.add.reduceat(found, first)))
-                row = np.concatenate((logs, np.zeros((1, len(languages)))))
-                which = np.array([numbers.get(w, len(logs)) for w in words], np.int64)[coded.indices.to_numpy()]
-                counts = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
-                starts = np.cumsum(counts) - counts
-                total = np.add.reduceat(row[which], starts) if len(which) else np.zeros((b - a, len(languages)))
-                lettered = pc.greater(pc.binary_length(bare), 0).to_numpy(zero_copy_only=False).astype(bool) & bool(languages)
-                best = total.argmax(1) if languages else np.zeros(b - a, int)
-                share = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1) if languages else np.zeros(b - a)
-                yield pa.RecordBatch.from_pydict({
-                    "doc_id": batch.column("doc_id").slice(a, b - a), "held_out": batch.column("held_out").slice(a, b - a),
-                    "lang_pred": pa.array([languages[k] if ok else "und" for k, ok in zip(best.tolist(), lettered.tolist())], pa.string()),
-                    "score": pa.array(np.where(lettered, share, 0.0))})
-                a = b
+            bare = pc.utf8_trim(pc.replace_substring_regex(pc.utf8_lower(texts), r"[^\p{L}]+", " "), " ")
+            split = pc.split_pattern(bare, " ")
+            coded = split.flatten().dictionary_encode()
+            words = coded.dictionary.to_pylist()
+            if len(numbers) > REMEMBERED:
+                numbers, logs = {}, logs[:0]
+            new = [w for w in words if w and w not in numbers]
+            if new and languages:
+                parts = [p for w in new for p in _parts(w)]
+                found = finder.log_likelihoods(parts, table)
+                first = np.cumsum([0] + [len(_parts(w)) for w in new[:-1]])
+                numbers.update(zip(new, range(len(logs), len(logs) + len(new))))
+                logs = np.concatenate((logs, np.add.reduceat(found, first)))
+            row = np.concatenate((logs, np.zeros((1, len(languages)))))
+            which = np.array([numbers.get(w, len(logs)) for w in words], np.int64)[coded.indices.to_numpy()]
+            counts = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+            starts = np.cumsum(counts) - counts
+            total = np.add.reduceat(row[which], starts) if len(which) else np.zeros((len(texts), len(languages)))
+            lettered = pc.greater(pc.binary_length(bare), 0).to_numpy(zero_copy_only=False).astype(bool) & bool(languages)
+            best = total.argmax(1) if languages else np.zeros(len(texts), int)
+            share = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1) if languages else np.zeros(len(texts))
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"),
+                "lang_pred": pa.array([languages[k] if ok else "und" for k, ok in zip(best.tolist(), lettered.tolist())], pa.string()),
+                "score": pa.array(np.where(lettered, share, 0.0))})
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(predict, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
