@@ -20,10 +20,9 @@ PREFIX, SUFFIX = 0, 1
 
 
 def _lines(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """doc_id, line_no (from 0), _words of every line with a word."""
-    rows = docs.where(F.col(doc_id).isNotNull()).select(
+    """doc_id, line_no (from 0), line."""
+    return docs.where(F.col(doc_id).isNotNull()).select(
         F.col(doc_id).cast("bigint").alias("doc_id"), F.posexplode(F.split(F.col(text).cast("string"), "\n")).alias("line_no", "line"))
-    return rows.select("doc_id", "line_no", words(F.col("line")).alias("_words")).where(F.size("_words") > 0)
 
 
 def _half_keys(w: Column) -> Column:
@@ -53,7 +52,7 @@ def near_lines(docs: DataFrame, *, min_words: int = 5, text: str = "text", doc_i
     """
     lines = _lines(docs, text, doc_id)
     w = F.col("_words")
-    table = written(lines.select(
+    table = written(lines.withColumn("_words", words(F.col("line"))).where(F.size(w) > 0).select(
         F.xxhash64(w).alias("h1"), F.xxhash64(F.lit(1), w).alias("h2"), "doc_id", "line_no",
         F.when(F.size(w) >= min_words, _half_keys(w)).alias("keys")), "lines")
     place = F.struct("doc_id", "line_no")
@@ -66,7 +65,7 @@ def near_lines(docs: DataFrame, *, min_words: int = 5, text: str = "text", doc_i
     met = halves.groupBy("key").agg(F.count("*").alias("n"), F.min("longer").alias("low")).where("n > 1 AND low = 0").select("key")
     asked = written(halves.join(met, "key").groupBy("doc_id", "line_no").agg(
         F.collect_set(F.struct("longer", "side")).alias("sides")), "asked-lines")
-    held = written(lines.join(small(asked), ["doc_id", "line_no"]), "asked-words")
+    held = written(lines.join(small(asked), ["doc_id", "line_no"]).select("doc_id", "line_no", words(F.col("line")).alias("_words"), "sides"), "asked-words")
 
     def has(longer: int, side: int) -> Column:
         return F.array_contains("sides", F.struct(F.lit(longer).alias("longer"), F.lit(side).alias("side")))
@@ -96,7 +95,11 @@ def near_lines(docs: DataFrame, *, min_words: int = 5, text: str = "text", doc_i
 
 
 def dedup_lines(docs: DataFrame, *, min_words: int = 5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs without the lines that near_lines names; adds n_lines, n_copies, n_near. Other lines stay as they are."""
+    """docs without the lines that near_lines names; adds n_lines, n_copies, n_near. Other lines stay as they are.
+
+    A null text stays null. Rows without doc_id stay as they are. Columns of docs with the
+    names made here, or named _id, _drop, _parts or _gone, are replaced.
+    """
     found = near_lines(docs, min_words=min_words, text=text, doc_id=doc_id)
     drops = written(found.groupBy(F.col("doc_id").alias("_id")).agg(
         F.collect_set(F.struct("line_no", "kind")).alias("_drop")), "dropped-lines")
