@@ -19,19 +19,25 @@ from nearshelf.llm.token_shards import read_documents, write_token_shards
 from nearshelf.session import work_folder
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with a key per row, so that rows without doc_id, or with one doc_id, are judged one by one."""
-    return docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a key per row, so that rows without doc_id, or with one doc_id, are judged one by one; the key's name."""
+    name = "_row"
+    while name in (c.lower() for c in docs.columns):
+        name += "_"
+    return docs.withColumn(name, F.xxhash64("doc_id", "text")), name
 
 
-def _without(docs: DataFrame, rows: DataFrame, name: str) -> DataFrame:
-    drop = written(rows.select("_row").distinct(), name)
-    return _keyed(docs).join(small(drop), "_row", "left_anti").select(docs.columns)
+def _without(docs: DataFrame, keys: DataFrame, name: str) -> DataFrame:
+    """docs but for the rows with the one key column's values."""
+    keyed, key = _keyed(docs)
+    drop = written(keys.toDF(key).distinct(), name)
+    return keyed.join(small(drop), key, "left_anti").select(docs.columns)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return quality_rules(docs).where("kept").select(docs.columns)
+    packed = docs.select(F.struct(*docs.columns).alias("doc"), "text", "lang")
+    return quality_rules(packed, keep=["doc"]).where("kept").select("doc.*")
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,14 +47,16 @@ def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage that holds a benchmark item."""
-    hits = find_contamination(_keyed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), doc_id="_row")
-    return _without(docs, hits.select(F.col("doc_id").alias("_row")), "contaminated")
+    keyed, key = _keyed(docs)
+    hits = find_contamination(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), doc_id=key)
+    return _without(docs, hits.select("doc_id"), "contaminated")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn at their rates: none of a domain of weight 0, no good one lost, the rest to fit the weights."""
-    rated = mix_sources(_keyed(docs), spark.read.parquet(f"{sf_dir}/labels.parquet"), weights=WEIGHTS, whole="good", carry=["_row"])
-    return _without(docs, rated.where("NOT kept"), "not-drawn")
+    keyed, key = _keyed(docs)
+    rated = mix_sources(keyed.select("doc_id", "text", key), spark.read.parquet(f"{sf_dir}/labels.parquet"), weights=WEIGHTS, whole="good", carry=[key])
+    return _without(docs, rated.where("NOT kept").select(key), "not-drawn")
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
