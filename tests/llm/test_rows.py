@@ -177,3 +177,19 @@ def test_url_trees_on_held_out_labels(spark):
     pages = spark.createDataFrame([(k, url(k)[0]) for k in range(400, 500)], "page_id long, url string")
     got = {r["page_id"]: r["verdict"] for r in filter_urls(pages, labels=labels, rules=()).collect()}
     assert sum(got[k] == ("block" if k % 2 else "allow") for k in got) >= 95
+
+
+def test_slices_hold_the_same_texts():
+    from nearshelf.llm.batches import slices
+    from nearshelf.llm.shingles import shingle_sets
+
+    texts = [prose(k, k % 40) + " É ß\tX" * (k % 3) for k in range(200)] + [None, ""]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts), "n": pa.array(range(len(texts)))})
+    cut = list(slices([batch], size=300))
+    assert len(cut) > 20 and [n for b in cut for n in b.column("n").to_pylist()] == list(range(len(texts)))
+    parts = [s.tolist() for b in cut for s in shingle_sets(b.column("text"), 2)]
+    assert parts == [s.tolist() for s in shingle_sets(batch.column("text"), 2)]
+    lower = {65 + i: 97 + i for i in range(26)}
+    for t, s in zip(texts, parts):
+        w = WORDS.findall((t or "").translate(lower))
+        assert len(s) == (len(set(zip(w, w[1:]))) if len(w) > 1 else len(w))
