@@ -15,6 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nearshelf.llm.batches import slices
 from nearshelf.llm.encoding import Encoder
 from nearshelf.llm.worker import kept
 
@@ -22,8 +23,8 @@ SHARD = ("part int, shard int, bits int, n_tokens bigint, zeros array<bigint>, p
          "doc_ids array<bigint>, lengths array<bigint>")
 #: Bits between two entries of a rank directory.
 BLOCK = 512
-#: Text encoded at a time, in characters.
-CHUNK = 1_000_000
+#: Text encoded at a time, in bytes.
+CHUNK = 8_000_000
 
 
 class WaveletMatrix:
@@ -121,38 +122,36 @@ class WaveletMatrix:
 
 def _shards(path: str, bits: int, end_id: int, shard_tokens: int):
     def build(batches: Iterator) -> Iterator:
-        import pandas as pd
+        import pyarrow as pa
 
         encoder = kept(("encoder", path), lambda: Encoder(path))
         part, number = TaskContext.get().partitionId(), 0
-        ids, docs, size = [], [], 0
-
-        def flush():
-            matrix = WaveletMatrix.of(np.concatenate(ids), bits)
-            return pd.DataFrame({
-                "part": [part], "shard": [number], "bits": [bits], "n_tokens": [matrix.n], "zeros": [matrix.zeros],
-                "planes": [[p.tobytes() for p in matrix.planes]], "ranks": [[r.tobytes() for r in matrix.ranks]],
-                "doc_ids": [docs], "lengths": [[len(x) for x in ids]]})
-
-        for batch in batches:
-            texts = batch["text"].tolist()
-            names = [None if x is None or x != x else int(x) for x in batch["doc_id"].tolist()]
-            a = 0
-            while a < len(texts):
-                b, chars = a, 0
-                while b < len(texts) and (b == a or chars + len(texts[b]) <= CHUNK):
-                    chars += len(texts[b])
-                    b += 1
-                for name, x in zip(names[a:b], encoder.encode(texts[a:b])):
-                    ids.append(np.append(x, np.uint32(end_id)))
-                    docs.append(name)
-                    size += len(ids[-1])
-                    if size >= shard_tokens:
-                        yield flush()
-                        ids, docs, size, number = [], [], 0, number + 1
-                a = b
-        if ids:
-            yield flush()
+        ids, docs, lengths, held = [], [], [], 0
+
+        def flush(some, names, sizes):
+            matrix = WaveletMatrix.of(some, bits)
+            return pa.RecordBatch.from_pydict({
+                "part": pa.array([part], pa.int32()), "shard": pa.array([number], pa.int32()), "bits": pa.array([bits], pa.int32()),
+                "n_tokens": pa.array([matrix.n], pa.int64()), "zeros": pa.array([matrix.zeros], pa.list_(pa.int64())),
+                "planes": pa.array([[p.tobytes() for p in matrix.planes]], pa.list_(pa.binary())),
+                "ranks": pa.array([[r.tobytes() for r in matrix.ranks]], pa.list_(pa.binary())),
+                "doc_ids": pa.array([names], pa.list_(pa.int64())), "lengths": pa.array([sizes], pa.list_(pa.int64()))})
+
+        for batch in slices(batches, size=CHUNK):
+            found, sizes = encoder.encode(batch.column("text").cast(pa.large_string()), end_id)
+            at = 0
+            for name, n in zip(batch.column("doc_id").to_pylist(), sizes.tolist()):
+                docs.append(name)
+                lengths.append(n)
+                at += n
+                if held + at >= shard_tokens:
+                    yield flush(np.concatenate([*ids, found[:at]]), docs, lengths)
+                    found, at, held, ids, docs, lengths, number = found[at:], 0, 0, [], [], [], number + 1
+            if len(found):
+                ids.append(found)
+                held += len(found)
+        if docs:
+            yield flush(np.concatenate(ids), docs, lengths)
 
     return build
 
@@ -169,7 +168,7 @@ def write_token_shards(docs: DataFrame, out: str, *, tokenizer_path: str, vocabu
     bits = max(1, (max(vocabulary - 1, end_id)).bit_length())
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInPandas(_shards(tokenizer_path, bits, end_id, shard_tokens), SHARD).write.option("compression", "zstd").parquet(out)
+    rows.mapInArrow(_shards(tokenizer_path, bits, end_id, shard_tokens), SHARD).write.option("compression", "zstd").parquet(out)
 
 
 def _matrices(batches: Iterator):
