@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from nearshelf.llm.batches import slices
 from nearshelf.llm.components import components
 from nearshelf.llm.shingles import shingle_sets
 from nearshelf.llm.tables import small, written
@@ -39,7 +40,7 @@ def _signatures(width: int):
         import xxhash
 
         cells = np.zeros(CELLS, np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             sizes, prints = [], []
             for s in shingle_sets(batch.column("text"), width):
                 cells += np.bincount((s & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS) if len(s) > CELLS // 8 else 0
@@ -87,7 +88,7 @@ def _prefixes(width: int, percent: int, shared):
         import pyarrow as pa
 
         cells = np.minimum(shared.value, np.uint64((1 << 24) - 1)) << np.uint64(40)
-        for batch in batches:
+        for batch in slices(batches):
             ids, sizes, tokens, docs = batch.column("doc_id").to_numpy(), [], [], []
             for k, s in enumerate(shingle_sets(batch.column("text"), width)):
                 n = len(s)
@@ -113,7 +114,7 @@ def _sets(width: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches):
             found = list(shingle_sets(batch.column("text"), width))
             ends = np.cumsum([0] + [len(s) for s in found]).astype(np.int32)
             flat = np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64)
@@ -238,4 +239,4 @@ def keep_first(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFra
     """docs without those whose component has a smaller doc_id; other columns stay. Rows without doc_id stay."""
     found = similar_components(docs, width=width, percent=percent)
     drop = written(found.where("component_id <> doc_id").select(F.col("doc_id").alias("_id")).distinct(), "near-copies")
-    return docs.join(small(drop), docs.doc_id.cast("bigint") == F.col("_id"), "left_anti")
+    return docs.join(small(drop), docs["doc_id"].cast("bigint") == drop["_id"], "left_anti")
