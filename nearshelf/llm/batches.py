@@ -21,3 +21,18 @@ def slices(batches: Iterator, column: str = "text", size: int = SLICE) -> Iterat
             # A copy: some kernels misread arrays that begin inside a larger one.
             yield batch.take(pa.array(np.arange(a, b)))
             a = b
+    release()
+
+
+def release() -> None:
+    """Gives what this worker no longer needs back to the system, as it may wait long for its next task."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

@@ -65,8 +65,8 @@ class Encoder:
         self._measure()
 
     def _measure(self) -> None:
-        self.size = np.array(self.sizes, np.int64)
-        self.start = np.cumsum(self.size) - self.size
+        self.size = np.array(self.sizes, np.int32)
+        self.start = np.cumsum(self.size, dtype=np.int32) - self.size
 
     def whole(self, texts: list[str]) -> list:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -125,6 +125,7 @@ class Encoder:
         split = pc.split_pattern(marked, " ")
         counts = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = split.flatten().dictionary_encode()
+        del marked, split, texts
         pieces = coded.dictionary.to_pylist()
         codes = Numbers.codes_of(pieces)
         row = self.pieces.get(codes)
@@ -154,9 +155,11 @@ class Encoder:
         lasting = np.delete(new, list(fixed))
         self.pieces.add(codes[lasting], row[lasting].astype(np.int32))
         which = self.table[:, row[coded.indices.to_numpy()]].T.ravel()
+        del coded, row, pieces
         sizes = self.size[which]
-        after = np.cumsum(sizes)
-        at = np.repeat(self.start[which] - (after - sizes), sizes) + np.arange(after[-1] if len(after) else 0)
+        after = np.cumsum(sizes, dtype=np.int32)
+        at = np.repeat(self.start[which] - (after - sizes), sizes)
+        at += np.arange(len(at), dtype=np.int32)
         ids = np.frombuffer(self.ids, np.uint32)[at]
         ends = np.concatenate(([0], after))[2 * np.cumsum(counts)]
         return ids, np.diff(ends, prepend=0)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF
+from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,39 +26,70 @@ def label_domain(quality: Column, toxic: Column) -> Column:
     return F.when(toxic == 1, "toxic").when(quality == 1, "good").otherwise("poor")
 
 
-def _terms(docs: DataFrame, features: int) -> DataFrame:
-    """Adds n_tokens (words) and terms, the hashed set of lower-cased words without marks at their ends."""
-    df = docs.withColumn("_words", words(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    df = df.withColumns({"n_tokens": F.size("_words").cast("bigint"),
-                         "_words": F.array_distinct(F.split(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}\s]+", " "), r"\s+"))})
-    df = df.withColumn("_words", F.coalesce("_words", F.array().cast("array<string>")))
-    return HashingTF(numFeatures=features, binary=True, inputCol="_words", outputCol="terms").transform(df).drop("_words")
+#: Longer words also count by so many first letters.
+STEM = 4
+STYLE = ["_upper", "_marks", "_digits", "_distinct"]
+
+
+def _described(docs: DataFrame) -> DataFrame:
+    """Adds n_tokens (words), _terms (the set of lower-cased words without marks, and of stems) and shares of upper-case
+    letters, marks and digits among the characters and of distinct words."""
+    df = docs.withColumn("_t", F.coalesce(F.col("text"), F.lit("")))
+    df = df.withColumns({
+        "n_tokens": F.size(words(F.col("_t"))).cast("bigint"),
+        "_terms": F.array_distinct(F.array_remove(F.split(F.lower("_t"), r"[^\p{L}\p{N}]+"), "")),
+        "_rest": F.regexp_replace("_t", r"[\p{Ll}\x20\x09-\x0D]+", ""),
+    })
+    long = F.filter("_terms", lambda w: F.length(w) > STEM)
+    df = df.withColumn("_terms", F.concat("_terms", F.array_distinct(F.transform(long, lambda w: F.concat(F.substring(w, 1, STEM), F.lit("*"))))))
+    n = F.greatest(F.length("_t"), F.lit(1))
+    return df.withColumns({
+        "_upper": F.length(F.regexp_replace("_rest", r"[^\p{Lu}]+", "")) / n,
+        "_marks": F.length(F.regexp_replace("_rest", r"[\p{L}\p{N}]+", "")) / n,
+        "_digits": F.length(F.regexp_replace("_rest", r"[^0-9]+", "")) / n,
+        "_distinct": F.size(F.filter("_terms", lambda w: ~F.endswith(w, F.lit("*")))) / F.greatest(F.col("n_tokens"), F.lit(1)),
+    }).drop("_t", "_rest")
+
+
+def _telling_terms(sample: DataFrame, terms: int, least: int) -> list[str]:
+    """The terms words of least documents or more whose documents' labels differ most from all labels, by chi-square."""
+    per = sample.groupBy("label").agg(F.count("*").alias("of_label"))
+    n = sample.count()
+    held = sample.select("label", F.explode("_terms").alias("term")).groupBy("term", "label").agg(F.count("*").alias("seen"))
+    whole = held.groupBy("term").agg(F.sum("seen").alias("held")).where(F.col("held") >= least)
+    expected = F.col("held") * F.col("of_label") / float(n)
+    # A label in which the word is never seen adds its expected count, as do all together.
+    score = F.sum(F.pow(F.col("seen") - expected, F.lit(2)) / expected - expected) + F.first("held")
+    rows = held.join(whole, "term").join(F.broadcast(per), "label").groupBy("term").agg(score.alias("score"))
+    return [r["term"] for r in rows.orderBy(F.desc("score"), "term").limit(terms).collect()]
 
 
 def domain_posteriors(docs: DataFrame, labels: DataFrame, *, domains: list[str], carry: Sequence[str] = (), fit_rows: int = 8_000,
-                      features: int = 1 << 15) -> DataFrame:
+                      terms: int = 300, least: int = 20) -> DataFrame:
     """doc_id, carry, n_tokens, posterior (one probability per domain, in order) of every row of docs.
 
-    A multinomial logistic regression on word sets, fitted on fit_rows labelled documents
-    at most, those with the smallest hash of their doc_id. Labels without quality are
-    left out; of several for one document, toxic and low quality prevail. Without
-    labelled documents all domains are equally likely.
+    A multinomial logistic regression on shares of characters and the terms most telling
+    words, fitted on fit_rows labelled documents at most, those with the smallest hash of
+    their doc_id; a word must stand in least of them. Labels without quality are left
+    out; of several for one document, toxic and low quality prevail. Without labelled
+    documents all domains are equally likely, with one kind of label that kind is sure.
     """
     docs = docs.select("doc_id", *carry, "text")
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(
         F.min("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
-    chosen = written(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows), "mix-labels")
-    of = F.array_position(F.array(*map(F.lit, domains)), label_domain(F.col("quality"), F.col("toxic"))) - 1
+    of = (F.array_position(F.array(*map(F.lit, domains)), label_domain(F.col("quality"), F.col("toxic"))) - 1).cast("double")
+    known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", of.alias("label")).where("label >= 0")
     # fit_rows rows: a broadcast of bounded size.
-    sample = _terms(docs.join(F.broadcast(chosen.select("doc_id", of.cast("double").alias("label")).where("label >= 0")), "doc_id"), features)
-    sample = written(sample.select("doc_id", "label", "terms").orderBy("doc_id").limit(2 * fit_rows), "mix-sample")
+    chosen = written(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows), "mix-labels")
+    sample = written(_described(docs.join(F.broadcast(chosen), "doc_id")).select("doc_id", "label", "_terms", *STYLE).dropDuplicates(["doc_id"]), "mix-sample")
     kinds = {r["label"] for r in sample.select("label").distinct().collect()}
     if len(kinds) < 2:
         even = [1.0 / len(domains)] * len(domains) if not kinds else [float(k in kinds) for k in range(len(domains))]
-        return _terms(docs, features).select("doc_id", *carry, "n_tokens", F.array(*map(F.lit, even)).alias("posterior"))
-    model = LogisticRegression(family="multinomial", maxIter=30, regParam=0.01, featuresCol="terms").fit(sample)
-    model.setProbabilityCol("probability")
-    out = model.transform(_terms(docs, features)).withColumn("posterior", vector_to_array("probability"))
+        return _described(docs).select("doc_id", *carry, "n_tokens", F.array(*map(F.lit, even)).alias("posterior"))
+    counted = CountVectorizerModel.from_vocabulary(_telling_terms(sample, terms, least) or [" "], "_terms", "_counted")
+    vector = VectorAssembler(inputCols=[*STYLE, "_counted"], outputCol="features")
+    model = LogisticRegression(family="multinomial", maxIter=50, regParam=0.001).fit(vector.transform(counted.transform(sample.orderBy("doc_id").coalesce(1))))
+    out = model.transform(vector.transform(counted.transform(_described(docs)))).withColumn("posterior", vector_to_array("probability"))
     width = model.numClasses
     padded = F.concat("posterior", F.array(*[F.lit(0.0)] * (len(domains) - width))) if width < len(domains) else F.col("posterior")
     return out.select("doc_id", *carry, "n_tokens", padded.alias("posterior"))
@@ -70,7 +101,8 @@ def fit_rates(members: DataFrame, weights: Mapping[str, float], *, tokens: int |
 
     Minimises the squared gaps between expected domain totals and their targets (weight
     times tokens; by default all tokens of members), each divided by the domain's size,
-    over rates of 0 or more; documents most likely of a domain of weight 0 have rate 0.
+    over rates of 0 or more. A domain of weight 0 takes no part: documents most likely of
+    it have rate 0, and what little the others may have of it is not fitted.
     From rate 1 on, steps follow the projected gradient in the metric of document
     tokens, in which the step of length 1 never overshoots. They end when no gap is over
     tolerance times tokens, or after steps of them. Rates are written every few steps.
@@ -92,7 +124,7 @@ def fit_rates(members: DataFrame, weights: Mapping[str, float], *, tokens: int |
     rate = F.when(F.col("_free"), F.col("rate")).otherwise(0.0)
     for step in range(1, steps + 1):
         now = state.agg(*[F.coalesce(F.sum(F.col("n_tokens") * x * rate), F.lit(0.0)).alias(str(k)) for k, x in enumerate(p)]).first()
-        gaps = [float(have) - want for have, want in zip(now, aim)]
+        gaps = [(float(have) - want) * (want > 0) for have, want in zip(now, aim)]
         if max(map(abs, gaps), default=0.0) <= tolerance * max(everything, 1.0):
             break
         pull = sum((x * F.lit(gap / size) for x, gap, size in zip(p, gaps, sizes) if size > 0), F.lit(0.0))
@@ -104,7 +136,7 @@ def fit_rates(members: DataFrame, weights: Mapping[str, float], *, tokens: int |
 
 
 def mix_sources(docs: DataFrame, labels: DataFrame, *, weights: Mapping[str, float] = WEIGHTS, tokens: int | None = None,
-                whole: str | None = None, carry: Sequence[str] = (), fit_rows: int = 8_000, features: int = 1 << 15) -> DataFrame:
+                whole: str | None = None, carry: Sequence[str] = (), fit_rows: int = 8_000, terms: int = 300, least: int = 20) -> DataFrame:
     """doc_id, carry, n_tokens, posterior, domain (the most likely), rate, kept.
 
     kept draws the document with probability min(rate, 1), by a hash of its doc_id; a
@@ -113,7 +145,7 @@ def mix_sources(docs: DataFrame, labels: DataFrame, *, weights: Mapping[str, flo
     nothing in the totals. No row, no result.
     """
     domains = list(weights)
-    members = domain_posteriors(docs, labels, domains=domains, carry=carry, fit_rows=fit_rows, features=features)
+    members = domain_posteriors(docs, labels, domains=domains, carry=carry, fit_rows=fit_rows, terms=terms, least=least)
     rated = fit_rates(members, weights, tokens=tokens, whole=whole)
     draw = F.pmod(F.xxhash64(F.lit("mix"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     domain = F.get(F.array(*map(F.lit, domains)), (F.array_position(F.col("posterior"), F.array_max("posterior")) - 1).cast("int"))
