@@ -268,11 +268,19 @@ def source_counts(spark, sf_dir):
     return VT.source_counts(X.catalog(spark, sf_dir).withColumnRenamed("country", "source"))
 
 
-@check("normalized_catalog", f"""WITH {CAT} SELECT id, CAST(NULL AS VARCHAR) AS sku, name, brand, country,
-    coalesce(nullif(keywords, ''), lower(category)) AS keywords, price, CAST(len(embedding) AS INTEGER) AS dim FROM cat""")
+REVIEWS_TEXT = """CASE item_no % 6 WHEN 0 THEN ''
+    WHEN 3 THEN 'Ann ' || item_no || '|' || repeat('Long text on ' || country || '. ', 20) || '|' || (80 + item_no % 20)::DOUBLE || ';-|Second|-'
+    WHEN 5 THEN CASE WHEN contains(name, '"') THEN '-|' || id || '|-' ELSE '-||-;-|' || trim(name) || ' is fine|-;-|x|-;-|fourth|-' END ELSE '-|' || id || '|-' END"""
+ABSENT = ", ".join(f"CAST(NULL AS VARCHAR) AS {c}" for c in ("sku", "image", "availability", "aggregate_rating", "source_url", "source"))
+
+
+@check("normalized_catalog", f"""WITH {CAT} SELECT id, name, brand, category, country, size, description, embedding_text, {ABSENT},
+    coalesce(nullif(keywords, ''), lower(category)) AS keywords, price, CAST(len(embedding) AS INTEGER) AS dim, {REVIEWS_TEXT} AS reviews FROM cat""")
 def normalized_catalog(spark, sf_dir):
-    old = X.catalog(spark, sf_dir).withColumnRenamed("country", "country_of_origin").withColumn(
+    """Older names, reviews as JSON text where the row has a list there, else as plain texts."""
+    old = X.items_with_reviews(spark, sf_dir).withColumn("reviews", F.array("id")).withColumnRenamed("country", "country_of_origin").withColumn(
         "keywords_list", F.array(F.lower("category"))
     ).withColumn("price", F.col("price").cast("string"))
     out = VT.normalize_catalog(old.withColumn("keywords_list", F.when(F.col("category").isNotNull(), F.col("keywords_list"))))
-    return out.select("id", "sku", "name", "brand", "country", "keywords", "price", F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("dim"))
+    line = F.transform("reviews", lambda r: F.concat_ws("|", *[F.coalesce(r[c].cast("string"), F.lit("-")) for c in ("author", "review", "rating")]))
+    return out.withColumns({"dim": F.when(F.col("embedding").isNotNull(), F.size("embedding")), "reviews": F.array_join(line, ";")}).drop("embedding")

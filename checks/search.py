@@ -9,8 +9,6 @@ from checks.sql_parts import (
 )
 from nearshelf.functions.text import item_key as key_of
 from nearshelf.operators import candidates as C, diversify as D, resolve as R, search as S
-from nearshelf.operators.query_text import query_text
-from nearshelf.operators.text_vectors import embed_texts, fit_text_vectors
 from nearshelf.plans import recommend as P
 
 DIM = X.DIM
@@ -83,14 +81,14 @@ def price_postfilter_topk(spark, sf_dir):
 
 
 BOUND_TEXTS = """SELECT p_partkey AS query_id,
-  CASE p_partkey % 5 WHEN 0 THEN '12.5' WHEN 1 THEN 'cheap' WHEN 2 THEN NULL ELSE cast(p_size AS string) END AS price_min,
-  CASE p_partkey % 4 WHEN 0 THEN '80' WHEN 1 THEN '' ELSE cast(p_retailprice AS string) END AS price_max
+  CASE p_partkey % 5 WHEN 0 THEN '12.5' WHEN 1 THEN CASE p_partkey % 2 WHEN 0 THEN 'cheap' ELSE 'NaN' END WHEN 2 THEN NULL ELSE cast(p_size AS string) END AS price_min,
+  CASE p_partkey % 4 WHEN 0 THEN CASE p_partkey % 3 WHEN 0 THEN 'NaN' ELSE '80' END WHEN 1 THEN '' ELSE cast(p_retailprice AS string) END AS price_max
 FROM {part}"""
 
 
 @check("price_bounds", f"""SELECT query_id,
-    CASE WHEN lo IS NULL OR hi IS NULL THEN 0.0::DOUBLE ELSE lo END AS price_min,
-    CASE WHEN lo IS NULL OR hi IS NULL THEN 999999.0::DOUBLE ELSE hi END AS price_max
+    CASE WHEN lo IS NULL OR hi IS NULL OR isnan(lo) THEN 0.0::DOUBLE ELSE lo END AS price_min,
+    CASE WHEN lo IS NULL OR hi IS NULL OR isnan(hi) THEN 999999.0::DOUBLE ELSE hi END AS price_max
     FROM (SELECT query_id, try_cast(price_min AS DOUBLE) AS lo, try_cast(price_max AS DOUBLE) AS hi FROM ({BOUND_TEXTS}))""")
 def price_bounds(spark, sf_dir):
     return S.price_bounds(X.spark_sql(spark, sf_dir, BOUND_TEXTS))
@@ -342,15 +340,3 @@ def recommend_by_item(spark, sf_dir):
         X.spark_sql(spark, sf_dir, TYPED_WITH_BOUNDS), X.spark_sql(spark, sf_dir, ITEM_VARIANTS),
         _catalog(spark, sf_dir), K, dim=DIM, scorer="native", digits=6,
     )
-
-
-# Texts of the catalog and of the requests turned into vectors by one fitted model.
-@check("text_vector_topk")
-def text_vector_topk(spark, sf_dir):
-    cat = _catalog(spark, sf_dir).drop("embedding")
-    texts = cat.withColumn("text", query_text(cat))
-    model = fit_text_vectors(texts, dim=256)
-    asked = X.spark_sql(spark, sf_dir, "SELECT doc_id AS query_id, text FROM {documents}")
-    return P.recommend_by_text(
-        embed_texts(model, asked, out="vector"), embed_texts(model, texts), 5, dim=256, digits=6
-    )

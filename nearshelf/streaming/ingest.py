@@ -34,7 +34,9 @@ def stream_ingest(pages: DataFrame, *, out: str, checkpoint: str, id_prefix: str
         classify_pages(batch.withColumn("key", page_key(F.col("path"))), keep=["key", "path"]) \
             .write.mode("overwrite").parquet(stage)
         classified = batch.sparkSession.read.parquet(stage)
-        records = make_records(classified, id_prefix, source)
+        # Of several pages of one item in a batch, the one with the last path counts.
+        one = classified.where("status = 'ok'").groupBy("sku").agg(F.max("path").alias("path"))
+        records = make_records(classified.join(one, ["sku", "path"], "left_semi"), id_prefix, source)
         records = embed(records) if embed else records
         records.write.mode("overwrite").parquet(f"{out}/records/batch_no={batch_no}")
 

@@ -1,12 +1,12 @@
-"""Selection operators against plain statements of the rules, on random lists."""
+"""Selection operators: properties that hold on random lists, and small lists worked out by hand."""
 
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from nearshelf.functions.text import effective_producer, item_key
 from nearshelf.operators import candidates as C, diversify as D
-from tests import rules
 
 K = 6
 CAND = "query_id INT, cand_rank INT, id STRING, score DOUBLE, name STRING, brand STRING"
@@ -46,18 +46,67 @@ def by_query(rows, value):
     return out
 
 
-def test_greedy_pick(data):
-    lists, _, cand, _ = data
+@pytest.fixture(scope="module")
+def facts(data):
+    """(query_id, id) -> rank, key, producer, brand, name; the operators' own inputs as columns."""
+    _, _, cand, _ = data
+    rows = cand.select("*", item_key(F.coalesce("name", F.lit(""))).alias("key"),
+                       effective_producer(F.col("brand"), F.coalesce("name", F.lit(""))).alias("producer")).collect()
+    return {(r.query_id, r.id): r for r in rows}
+
+
+def test_greedy_pick(data, facts):
+    _, _, cand, _ = data
     got = by_query(D.diversify(cand, K).collect(), lambda r: r.id)
-    assert got == {q: [c["id"] for c in rules.pick(cs, K)] for q, cs in lists.items() if cs}
+    for q, ids in got.items():
+        picked = [facts[q, i] for i in ids]
+        ranks = [r.cand_rank for r in picked]
+        assert ranks == sorted(set(ranks)) and ranks[0] == 1 and len(ids) <= K
+        early = [r.key for r in picked[: max(2, K // 2)] if r.key]
+        assert len(early) == len(set(early))
+        brands = [(r.brand or "").strip().lower() for r in picked[: K - 1]]
+        assert all(brands.count(b) <= 2 for b in brands if b)
+    # A longer list begins like the shorter one while both are under their halves.
+    longer = by_query(D.diversify(cand, 2 * K).collect(), lambda r: r.id)
+    assert all(longer[q][: K // 2] == ids[: K // 2] for q, ids in got.items())
 
 
 @pytest.mark.parametrize("k", [1, 2, 6, 60])
-def test_whole_selection(data, k):
+def test_whole_selection(data, facts, k):
     lists, bases, cand, base = data
     got = by_query(D.select_diverse(cand, base, k).collect(), lambda r: (r.phase, r.id))
-    want = {q: rules.similar(cs, bases[q], k) for q, cs in lists.items()}
-    assert got == {q: w for q, w in want.items() if w}
+    for q, cs in lists.items():
+        own = (bases[q]["name"] or "").strip().lower()
+        chosen = got.get(q, [])
+        ids = [i for _, i in chosen]
+        other = [c for c in cs if not own or (c["name"] or "").strip().lower() != own]
+        assert len(ids) == len(set(ids)) == min(k, len(other)) or len(ids) == min(k, len(cs))
+        assert [p for p, _ in chosen] == sorted(p for p, _ in chosen)
+        strict = [facts[q, i] for p, i in chosen if p == 1]
+        keys = [r.key for r in strict if r.key]
+        assert len(keys) == len(set(keys))
+        if not (bases[q]["embedding_text"] or "").strip():
+            made = [r.producer for r in strict if r.producer]
+            assert all(made.count(m) <= 2 for m in made)
+        filled = [facts[q, i].cand_rank for p, i in chosen if p == 2]
+        assert filled == sorted(filled)
+
+
+def rows_of(*items):
+    return [(1, n, i, 1 - n / 100, name, brand) for n, (i, name, brand) in enumerate(items, 1)]
+
+
+@pytest.mark.parametrize("items,base,want", [
+    # The base item and another vintage of it are left to the fill-up, the base itself is never taken.
+    ([("a", "2015 Ridge Top", "R"), ("b", "2016 Ridge Top", "R"), ("c", "plain", "P")], ("2015 Ridge Top", "R", None), [(1, "c"), (2, "b")]),
+    # One more of the base's producer, two of any other, the rest fills up.
+    ([("a", "one", "R"), ("b", "two", "R"), ("c", "three", "S"), ("d", "four", "S")], ("base", "R", None), [(1, "a"), (1, "c"), (1, "d"), (2, "b")]),
+    # With a stored profile of the base, producers are not limited.
+    ([("a", "one", "R"), ("b", "two", "R"), ("c", "three", "S")], ("base", "R", "Name: base."), [(1, "a"), (1, "b"), (1, "c")]),
+])
+def test_lists_worked_out_by_hand(spark, items, base, want):
+    got = D.select_diverse(spark.createDataFrame(rows_of(*items), CAND), spark.createDataFrame([(1, *base)], BASE), 6)
+    assert [(r.phase, r.id) for r in got.orderBy("rank").collect()] == want
 
 
 def test_split_steps_equal_the_whole(data):
@@ -78,15 +127,21 @@ def test_rows_without_metadata_take_a_place_and_return_by_fill(spark):
 
 
 @pytest.mark.parametrize("cap", [1, 2])
-def test_cap_per_group(spark, data, cap):
-    from nearshelf.functions.text import effective_producer
-
-    lists, _, cand, _ = data
+def test_cap_per_group(data, facts, cap):
+    _, _, cand, _ = data
     keyed = cand.withColumnRenamed("cand_rank", "rank").withColumn(
         "producer", effective_producer(F.col("brand"), F.coalesce("name", F.lit("")))
     )
     got = by_query(C.cap_per_group(keyed, "producer", K, cap).collect(), lambda r: r.id)
-    assert got == {q: rules.capped(cs, K, cap) for q, cs in lists.items() if cs}
+    for q, ids in got.items():
+        taken = [facts[q, i] for i in ids]
+        made = [r.producer for r in taken if r.producer]
+        assert all(made.count(m) <= cap for m in made)
+        # What was passed over stands behind cap others of its producer.
+        last = taken[-1].cand_rank if len(ids) == K else 10**9
+        for (p, i), r in facts.items():
+            if p == q and i not in ids and r.cand_rank < last:
+                assert r.producer and sum(t.producer == r.producer and t.cand_rank < r.cand_rank for t in taken) == cap
     longer = by_query(C.cap_per_group(keyed, "producer", K + 1, cap).collect(), lambda r: r.id)
     assert all(longer[q][: len(ids)] == ids for q, ids in got.items())
 
