@@ -161,6 +161,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     price = f"""CASE WHEN item_no % 9 = 4 THEN '"$12"' WHEN {shape} = 10 THEN '" ' || price || ' "' ELSE string(price) END"""
     offer = f"""'{{' || {_member('price', price)} || '"availability":"InStock"}}'"""
     body = " || ".join([
+        """CASE WHEN item_no % 24 = 12 THEN '"name":"first name","weight":NaN,' WHEN item_no % 24 = 1 THEN '"sku":"first","weight":-Infinity,' ELSE '' END""",
         f"""CASE {shape} WHEN 3 THEN '"@type":["Product"],' ELSE '"@type":"Product",' END""",
         f"""CASE {shape} WHEN 6 THEN '"sku":' || item_no || ',' ELSE '"sku":" S' || item_no || ' ",' END""",
         f"""CASE {shape} WHEN 9 THEN '"name":"  ",' ELSE {_member('name', _quoted('name'))} END""",

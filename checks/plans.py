@@ -4,13 +4,17 @@ from pyspark.sql import functions as F
 
 from checks import fixture as X
 from checks.registry import check
-from checks.search import FUZZY, GUESS, K, _sorted_words
-from checks.sql_parts import CAT, REQ, guess_cte, stated_brand, strip
-from checks.texts import LEGACY, _query_text
+from checks.pages import PROFILE_CTE, TRUTH, WANTED
+from checks.search import GUESS, K
+from checks.sql_parts import CAT, stated_brand, strip
+from checks.texts import LEGACY, SLIDERS, WORDS, _query_text
 from nearshelf import fixed_values as V
 from nearshelf.operators.query_text import query_text
 from nearshelf.operators.text_vectors import embed_texts, fit_text_vectors
-from nearshelf.plans import recommend as P
+from nearshelf.plans import ingest as I, recommend as P
+from nearshelf.session import work_folder
+from nearshelf.sources import manifest as M
+from nearshelf.streaming import ingest as SI
 
 TEXT_DIM = 256
 
@@ -60,3 +64,121 @@ def text_vector_topk(spark, sf_dir):
     return P.recommend_by_text(
         embed_texts(model, asked, out="vector"), embed_texts(model, texts), 5, dim=TEXT_DIM, digits=6
     )
+
+
+def _embed(model):
+    return lambda rows, text, out: embed_texts(model, rows, text, out)
+
+
+def _text_catalog(spark, sf_dir):
+    """(catalog whose vectors are those of its texts, how to embed another text)."""
+    texts = _catalog_texts(spark, sf_dir)
+    model = fit_text_vectors(texts, dim=TEXT_DIM)
+    folder = work_folder(spark, "text-catalog")
+    embed_texts(model, texts).drop("text").write.parquet(folder)
+    return spark.read.parquet(folder), _embed(model)
+
+
+PROMPT = strip("coalesce(" + strip("text") + ", '') || chr(10) || chr(10) || 'Preferences: ' || "
+               + " || '; ' || ".join(f"({w})" for w in WORDS.values()) + f" || '. {V.FLIGHT_REQUEST}'")
+PROMPT_DISLIKES = f"SELECT DISTINCT user_id, id FROM ({X.SIGNALS}) s WHERE event_type = 'error'"
+
+
+@check("recommend_from_prompt", f"""WITH {CAT}, {GUESS}, {CATALOG_TEXTS}, sliders AS (SELECT * FROM ({SLIDERS}) s WHERE coalesce({strip('text')}, '') <> ''),
+  asked AS (SELECT doc_id AS key, {PROMPT} AS text FROM sliders),
+  {text_vectors('catalog_text', 'catalog_text', 'asked')},
+  matches AS (SELECT * FROM (
+    SELECT query_id, id, name, brand, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
+      SELECT a.key AS query_id, c.id, c.name, c.brand, round(list_inner_product(a.v, k.v), 6) + 0.0 AS score
+      FROM asked_vec a, catalog_text_vec k JOIN cat c ON c.id = k.key WHERE list_sum(a.v) <> 0 AND list_sum(k.v) <> 0)) WHERE rank <= {V.free_text_depth(8)}),
+  prod AS (SELECT m.*, coalesce({stated_brand('m.brand')}, g.brand_guess, '') AS producer FROM matches m LEFT JOIN guess g ON g.name = m.name),
+  capped AS (SELECT *, row_number() OVER (PARTITION BY query_id, producer ORDER BY rank) AS in_group FROM prod),
+  listed AS (SELECT *, query_id % 50 AS user_id FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY capped.rank) AS place FROM capped WHERE producer = '' OR in_group <= 2) WHERE place <= 8),
+  hidden AS ({PROMPT_DISLIKES}),
+  blocked AS (SELECT DISTINCT h.user_id, lower({strip('c.brand')}) AS key FROM hidden h JOIN cat c ON c.id = h.id WHERE coalesce({strip('c.brand')}, '') <> ''),
+  kept AS (SELECT * FROM listed l WHERE NOT EXISTS (SELECT 1 FROM hidden h WHERE h.user_id = l.user_id AND h.id = l.id)
+    AND NOT EXISTS (SELECT 1 FROM blocked b WHERE b.user_id = l.user_id AND b.key = lower({strip('l.brand')}))),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place) AS n FROM kept)
+  SELECT query_id, user_id, CAST(n AS INTEGER) AS position, CASE WHEN n < 4 THEN 'core' WHEN n < 6 THEN 'explore' ELSE 'wildcard' END AS tier,
+    id, score, producer FROM placed""")
+def recommend_from_prompt(spark, sf_dir):
+    catalog, embed = _text_catalog(spark, sf_dir)
+    requests = X.spread(X.spark_sql(spark, sf_dir, SLIDERS), "doc_id").withColumnRenamed("doc_id", "query_id").withColumn("user_id", F.col("query_id") % 50)
+    return P.recommend_from_prompt(requests, catalog, embed, X.spark_sql(spark, sf_dir, PROMPT_DISLIKES), dim=TEXT_DIM, digits=6)
+
+
+NAMES = f"SELECT query_id, typed_name FROM ({X.TYPED_NAMES}) t"
+
+
+# Compared in tests with the same steps taken one by one.
+@check("recommend_from_name")
+def recommend_from_name(spark, sf_dir):
+    catalog, embed = _text_catalog(spark, sf_dir)
+    return P.recommend_from_name(X.spark_sql(spark, sf_dir, NAMES), catalog, embed, K, dim=TEXT_DIM, scorer="native", digits=6)
+
+
+@check("recommend_from_likes")
+def recommend_from_likes(spark, sf_dir):
+    catalog, embed = _text_catalog(spark, sf_dir)
+    likes = X.signals(spark, sf_dir).where("event_type = 'click'").select(F.col("event_id").alias("like_id"), "user_id", "id")
+    return P.recommend_from_likes(likes, catalog, embed, K, dim=TEXT_DIM, scorer="native", digits=6)
+
+
+@check("recommend_v1")
+def recommend_v1(spark, sf_dir):
+    catalog, embed = _text_catalog(spark, sf_dir)
+    return P.recommend_v1(X.spark_sql(spark, sf_dir, NAMES), catalog, embed, K, dim=TEXT_DIM, digits=6)
+
+
+# --- pages to vectors ---------------------------------------------------------
+
+NAME_TEXTS = "name_text AS (SELECT id AS key, name AS text FROM cat)"
+VECTORS_SQL = f"""WITH {CAT}, {TRUTH}, {PROFILE_CTE}, {NAME_TEXTS},
+  profile AS (SELECT 'shop:' || sku AS key, profile_text AS text FROM profiles WHERE {WANTED}),
+  {text_vectors('name_text', 'name_text', 'profile')}
+  SELECT p.key AS id, left(p.text, 1000) AS embedding_text, CAST(i - 1 AS INTEGER) AS pos, round(v[i], 9) + 0.0 AS x
+  FROM profile_vec v JOIN profile p USING (key), (SELECT unnest(range(1, {TEXT_DIM + 1})) AS i)"""
+
+
+def _name_model(spark, sf_dir):
+    return _embed(fit_text_vectors(X.catalog(spark, sf_dir).select(F.col("name").alias("text")), dim=TEXT_DIM))
+
+
+def _vectors(table):
+    return table.select("id", "embedding_text", F.posexplode("embedding").alias("pos", "x")).withColumn("x", F.round("x", 9) + 0.0)
+
+
+def _ingest(spark, sf_dir, base, n, manifest):
+    return I.run_ingest(
+        X.pages(spark, sf_dir), M.read_manifest(spark, f"{base}/{manifest}"), id_prefix="shop:", source="shop", stage_path=f"{base}/stage{n}",
+        records_path=f"{base}/records", manifest_path=f"{base}/{manifest}", embed=_name_model(spark, sf_dir), table_path=f"{base}/table", batch_no=n, buckets=8)
+
+
+@check("ingest_vectors", VECTORS_SQL)
+def ingest_vectors(spark, sf_dir):
+    """Pages to the vector table in one run."""
+    base = work_folder(spark, "ingest")
+    _ingest(spark, sf_dir, base, 1, "manifest")
+    return _vectors(spark.read.parquet(base + "/table"))
+
+
+@check("ingest_replay", VECTORS_SQL)
+def ingest_replay(spark, sf_dir):
+    """The run is taken to have died before its manifest, is repeated, and finds nothing on a third start."""
+    base = work_folder(spark, "ingest")
+    _ingest(spark, sf_dir, base, 1, "lost")
+    _ingest(spark, sf_dir, base, 1, "manifest")
+    _ingest(spark, sf_dir, base, 2, "manifest")
+    return _vectors(spark.read.parquet(base + "/table").where("batch_no = 1"))
+
+
+@check("stream_vectors", VECTORS_SQL)
+def stream_vectors(spark, sf_dir):
+    """Pages to vectors as a stream."""
+    base, embed = work_folder(spark, "stream"), _name_model(spark, sf_dir)
+    X.pages(spark, sf_dir).write.parquet(base + "/in")
+    source = spark.readStream.schema("path STRING, html STRING").parquet(base + "/in")
+    SI.stream_ingest(source, out=base + "/out", checkpoint=base + "/checkpoint", id_prefix="shop:", source="shop",
+                     embed=lambda rows: embed(rows, "profile_text", "embedding")).awaitTermination()
+    return _vectors(SI.current_records(spark, base + "/out"))

@@ -20,6 +20,9 @@ LINE_BREAK_CLASS = r"[\n-\r\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 # --- page markup ------------------------------------------------------------
 JSONLD_BLOCK = r'(?is)<script[^>]*type="application/ld\+json"[^>]*>(.*?)</script>'
 OG_URL = r'(?idU)<meta\s+property="og:url"\s+content="(.*?)"'
+PRODUCT_MEMBERS = [
+    "@type", "sku", "name", "category", "countryOfOrigin", "size", "image", "description", "offers", "keywords", "review", "aggregateRating",
+]
 PRODUCT_TYPE = "Product"
 PAGE_FILE_ID = r"^(\d+)\.html$"
 PAGE_FILE_GLOB = "*.html"

@@ -19,11 +19,22 @@ def jsonld_blocks(html: Column) -> Column:
     return F.filter(bodies, lambda b: text_or_null(b).isNotNull())
 
 
+def lenient_objects(text: Column) -> Column:
+    """Objects of a text that strict parsing rejects, by the members that product
+    fields come from: of repeated keys the last counts, NaN literals are read.
+    Null where it is no JSON; a member that itself repeats keys is null."""
+    members = ", ".join(f"`{m}`: VARIANT" for m in V.PRODUCT_MEMBERS)
+    return F.transform(F.from_json(text, f"ARRAY<STRUCT<{members}>>"), F.to_variant_object)
+
+
 def jsonld_objects(html: Column) -> Column:
     """Parsed values; unparsable blocks are left out, top-level arrays are
     flattened one level."""
-    parsed = F.filter(F.transform(jsonld_blocks(html), F.try_parse_json), lambda v: v.isNotNull())
-    return F.flatten(F.transform(parsed, lambda v: F.coalesce(items_at(v, "$"), F.array(v))))
+    def objects(block: Column) -> Column:
+        return let(F.try_parse_json(block), lambda v: F.when(
+            v.isNotNull(), F.coalesce(items_at(v, "$"), F.array(v))).otherwise(lenient_objects(block)))
+
+    return F.flatten(F.filter(F.transform(jsonld_blocks(html), objects), lambda v: v.isNotNull()))
 
 
 def products_of(html: Column) -> Column:

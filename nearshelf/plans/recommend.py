@@ -1,5 +1,7 @@
 """Whole requests, for a table of requests at a time."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from nearshelf import fixed_values as V
@@ -7,9 +9,14 @@ from nearshelf.functions.text import effective_producer, strip
 from nearshelf.operators.candidates import (
     cap_per_group, combine_vectors, merge_candidates, top_per_query, without_base,
 )
+from nearshelf.operators.feedback import apply_feedback, assign_tiers, dislikes, liked_queries
+from nearshelf.operators.query_text import free_text_prompt, query_variants, taste_words
 from nearshelf.operators.diversify import select_diverse, with_item_key
 from nearshelf.operators.resolve import resolve_names
 from nearshelf.operators.search import cosine_topk, price_between
+from nearshelf.session import work_folder
+
+Embed = Callable[[DataFrame, str, str], DataFrame]  # rows, text column, vector column to add
 
 
 def with_metadata(recs: DataFrame, catalog: DataFrame, columns: list[str]) -> DataFrame:
@@ -45,7 +52,7 @@ def recommend_by_item(names: DataFrame, variants: DataFrame, catalog: DataFrame,
     id, variant_no, vector, the query texts' vectors of every catalog item.
     """
     resolved, _ = resolve_names(names, catalog, dim=dim, min_score=min_score, scorer=scorer, digits=digits)
-    resolved = resolved.persist()  # one row per name; read three times below
+    resolved = _kept(resolved.select("query_id", "id"), "resolved-names")
     bounds = [c for c in ("price_min", "price_max") if c in names.columns]
     text = [c for c in ("embedding_text",) if c in catalog.columns]
     base = resolved.select("query_id", "id").join(catalog.select("id", "name", "brand", *text), "id")
@@ -72,6 +79,71 @@ def recommend_by_text(requests: DataFrame, catalog: DataFrame, k: int = 8, *, di
     )
 
 
+def recommend_from_name(names: DataFrame, catalog: DataFrame, embed: Embed, k: int = 5, *, dim: int, min_score: int = V.NAME_MIN_SCORE,
+                        scorer: str = "exact", digits: int | None = None, **search) -> DataFrame:
+    """Typed names alone -> similar items: query_id, rank, phase, id, score, base_id.
+
+    names: query_id, typed_name and optionally price bounds. The name's vector
+    resolves it to an item, whose query texts are embedded and searched. A name
+    that resolves to nothing is one row with null rank and id.
+    """
+    asked = embed(names.drop("vector"), "typed_name", "vector")
+    resolved, _ = resolve_names(asked, catalog, dim=dim, min_score=min_score, scorer=scorer, digits=digits)
+    resolved = _kept(resolved.select("query_id", "id"), "resolved-names")
+    base = resolved.join(catalog.drop("embedding"), "id")
+    bounds = [c for c in ("price_min", "price_max") if c in names.columns]
+    texts = query_variants(base).join(names.select("query_id", *bounds), "query_id")
+    columns = base.select("query_id", "name", "brand", *[c for c in ("embedding_text",) if c in base.columns])
+    recs = similar_items(embed(texts, "text", "vector"), columns, catalog, k, dim=dim, digits=digits, **search)
+    known = resolved.select("query_id", F.col("id").alias("base_id"))
+    missing = names.select("query_id").join(known, "query_id", "left_anti")
+    return recs.join(known, "query_id").unionByName(missing, allowMissingColumns=True)
+
+
+def recommend_from_prompt(requests: DataFrame, catalog: DataFrame, embed: Embed, dislikes_of: DataFrame | None = None, k: int = 8, *, dim: int,
+                          digits: int | None = None, **search) -> DataFrame:
+    """Free text with sliders -> tiered list of the user, without disliked items
+    and producers. requests: query_id, user_id, text, taste_* columns, optionally
+    price bounds; dislikes_of: user_id, id."""
+    asked = requests.where(F.coalesce(strip(F.col("text")), F.lit("")) != "")
+    asked = embed(free_text_prompt(taste_words(asked)), "prompt", "vector")
+    recs = recommend_by_text(asked, catalog, k, dim=dim, digits=digits, **search)
+    recs = recs.join(requests.select("query_id", "user_id"), "query_id").join(catalog.select("id", "brand"), "id")
+    if dislikes_of is not None:
+        recs = apply_feedback(recs, *dislikes(dislikes_of, catalog))
+    return assign_tiers(recs).select("query_id", "user_id", "position", "tier", "id", "score", "producer")
+
+
+def recommend_from_likes(likes: DataFrame, catalog: DataFrame, embed: Embed, k: int = 5, *, dim: int, **more) -> DataFrame:
+    """Every liked item asks for its like. likes: like_id, user_id, id."""
+    asked = _kept(liked_queries(likes, catalog), "liked-names")
+    found = recommend_from_name(asked.select("query_id", "typed_name"), catalog, embed, k, dim=dim, **more)
+    return found.join(asked.select("query_id", "user_id"), "query_id")
+
+
+def recommend_v1(names: DataFrame, catalog: DataFrame, embed: Embed, k: int = 5, *, dim: int, scorer: str = "exact_v1",
+                 digits: int | None = None, **search) -> DataFrame:
+    """The earlier chain from a typed name: resolved at a high score among few
+    candidates, then one search by the weighted vectors of the item's notes,
+    category and country."""
+    asked = embed(names.drop("vector"), "typed_name", "vector")
+    resolved, _ = resolve_names(asked, catalog, dim=dim, min_score=V.NAME_MIN_SCORE_V1, candidates=V.NAME_CANDIDATES_V1, scorer=scorer, digits=digits)
+    resolved = _kept(resolved.select("query_id", "id"), "resolved-names")
+    base = resolved.join(catalog.select("id", F.col("name").alias("base_name"), "description", "category", "country"), "id")
+    for text, out in (("description", "tasting"), ("category", "category"), ("country", "country")):
+        base = embed(base.withColumn("__asked", F.col(text)), "__asked", "__vector").withColumn(
+            "__" + out, F.when(F.coalesce(strip(F.col(text)), F.lit("")) != "", F.col("__vector")) if out != "tasting" else F.col("__vector"))
+    vectors = base.select("query_id", "base_name", *[F.col("__" + c).alias(c) for c in ("tasting", "category", "country")])
+    return recommend_weighted(vectors, catalog, k, dim=dim, digits=digits, **search)
+
+
+def _kept(rows: DataFrame, name: str) -> DataFrame:
+    """Narrow rows that several steps read: written once to the shared folder."""
+    folder = work_folder(rows.sparkSession, name)
+    rows.write.parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+
+
 def text_as_base(requests: DataFrame, label: str = V.FREE_TEXT_BASE_LABEL, brand: str = "Free text",
                  description: str = V.FREE_TEXT_BASE_DESCRIPTION) -> DataFrame:
     """Stand-in base row of a free-text request."""
