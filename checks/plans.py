@@ -3,10 +3,11 @@
 from pyspark.sql import functions as F
 
 from checks import fixture as X
-from checks.registry import check
+from checks.fixture import duck
+from checks.registry import ORACLES, check
 from checks.pages import PROFILE_CTE, TRUTH, WANTED
 from checks.search import GUESS, K
-from checks.sql_parts import CAT, stated_brand, strip
+from checks.sql_parts import CAT, TYPED, VEC, scored, stated_brand, strip
 from checks.texts import LEGACY, SLIDERS, WORDS, _query_text
 from nearshelf import fixed_values as V
 from nearshelf.operators.query_text import query_text
@@ -182,3 +183,50 @@ def stream_vectors(spark, sf_dir):
     SI.stream_ingest(source, out=base + "/out", checkpoint=base + "/checkpoint", id_prefix="shop:", source="shop",
                      embed=lambda rows: embed(rows, "profile_text", "embedding")).awaitTermination()
     return _vectors(SI.current_records(spark, base + "/out"))
+
+
+# --- the exact name score -----------------------------------------------------
+
+def exact_scores(pairs: str, version: int) -> str:
+    """CTEs up to exact(pid, fuzzy) over a CTE pairs(pid, typed_name, name): twice the letters in matching blocks
+    over all letters. A block is the longest common run, the first one in a, then in b; what lies before and after it is searched again."""
+    def plain(x):
+        return f"trim(lower(regexp_replace({x}, '[^\\p{{L}}\\p{{N}}_]', ' ', 'g')))"
+
+    def ascii_plain(x):
+        return plain(f"regexp_replace({x}, '[\\x{{80}}-\\x{{FF}}]', '', 'g')")
+
+    def ordered(x):
+        return f"array_to_string(list_sort(list_filter(string_split({x}, ' '), lambda w: w <> '')), ' ')"
+
+    typed = ascii_plain(plain("lower(typed_name)") if version == 2 else "lower(typed_name)")
+    block = """list_min(flatten(list_transform(range(a0, a1), lambda i: list_transform(list_filter(range(b0, b1), lambda j: a[i + 1] = b[j + 1]), lambda j:
+      {'k': -len(list_filter(range(1, least(a1 - i, b1 - j) + 1), lambda k: a[i + 1:i + k] = b[j + 1:j + k])), 'i': i, 'j': j}))))"""
+    return f"""sides AS (SELECT pid, {ordered(typed)} AS a, {ordered(ascii_plain('lower(name)'))} AS b FROM {pairs}),
+  found AS (
+    SELECT pid, a, b, 0 AS a0, length(a) AS a1, 0 AS b0, length(b) AS b1, NULL::STRUCT(k BIGINT, i BIGINT, j BIGINT) AS m FROM sides WHERE a <> b AND a <> '' AND b <> ''
+    UNION ALL
+    SELECT pid, a, b, part.a0, part.a1, part.b0, part.b1, m FROM (
+      SELECT pid, a, b, m, unnest([{{'a0': a0, 'a1': m.i, 'b0': b0, 'b1': m.j}}, {{'a0': m.i - m.k, 'a1': a1, 'b0': m.j - m.k, 'b1': b1}}]) AS part
+      FROM (SELECT pid, a, b, a0, a1, b0, b1, {block} AS m FROM found WHERE a1 > a0 AND b1 > b0) WHERE m IS NOT NULL)),
+  matched AS (SELECT pid, sum(-k) AS n FROM (SELECT DISTINCT pid, m.k AS k, m.i AS i, m.j AS j FROM found WHERE m IS NOT NULL) GROUP BY pid),
+  exact AS (SELECT s.pid, CAST(CASE WHEN a = b THEN 100 WHEN a = '' OR b = '' THEN 0
+    ELSE round_even(100 * (2.0::DOUBLE * coalesce(n, 0) / (length(a) + length(b))), 0) END AS INTEGER) AS fuzzy FROM sides s LEFT JOIN matched USING (pid))"""
+
+
+def _pairs_cte(k: int) -> str:
+    return f"""{CAT}, {VEC}, {TYPED}, {scored('typed', k, bounds=False)},
+  pairs AS (SELECT row_number() OVER () AS pid, m.query_id, m.rank, m.id, m.name, t.typed_name FROM matches m JOIN typed t ON t.query_id = m.query_id WHERE m.name <> '')"""
+
+
+def _resolved_sql(k: int, version: int, least: int) -> str:
+    return f"""WITH RECURSIVE {_pairs_cte(k)}, {exact_scores('pairs', version)}
+    SELECT query_id, typed_name, id, name, fuzzy FROM (
+      SELECT p.*, e.fuzzy, row_number() OVER (PARTITION BY query_id ORDER BY e.fuzzy DESC, p.rank) AS place FROM pairs p JOIN exact e USING (pid))
+    WHERE place = 1 AND fuzzy >= {least}"""
+
+
+ORACLES["fuzzy_exact"] = duck(f"""WITH RECURSIVE {_pairs_cte(20)}, {exact_scores('pairs', 2)}
+  SELECT p.query_id, p.rank, p.id, e.fuzzy FROM pairs p JOIN exact e USING (pid)""")
+ORACLES["resolve_names_exact"] = duck(_resolved_sql(20, 2, 75))
+ORACLES["resolve_names_v1"] = duck(_resolved_sql(10, 1, 90))
