@@ -94,3 +94,30 @@ def test_text_vectors_find_the_text(spark):
     got = P.recommend_by_text(TV.embed_texts(model, asked, out="vector"), catalog, 1, dim=64).collect()
     assert [(r.query_id, r.id) for r in got if r.query_id == 1] == [(1, "b")]
     assert 2 not in {r.query_id for r in got}
+
+
+def test_bound_is_never_under_the_score(spark):
+    import random
+
+    rng, words = random.Random(4), ["opus", "one", "château", "d'or", "2015", "ÉTÉ", "a.b", "", "ñandú", "x"]
+    rows = [(" ".join(rng.choices(words, k=rng.randint(0, 4))), " ".join(rng.choices(words, k=rng.randint(0, 4)))) for _ in range(300)]
+    pairs = spark.createDataFrame(rows, "typed_name STRING, name STRING")
+    for version, scorer in ((2, "exact"), (1, "exact_v1")):
+        got = R.fuzzy_scores(pairs, scorer).withColumn("bound", R.BOUNDS[scorer](F.lower("typed_name"), F.lower("name"))).collect()
+        assert all(r.bound >= r.fuzzy for r in got)
+
+
+def test_plan_from_a_name_equals_its_steps(spark):
+    from checks import plans as C
+    from nearshelf.operators.query_text import query_variants
+
+    sf = "/root/testdata/sf0.001"
+    catalog, embed = C._text_catalog(spark, sf)
+    names = C.X.spark_sql(spark, sf, C.NAMES).limit(40)
+    whole = P.recommend_from_name(names, catalog, embed, 4, dim=C.TEXT_DIM, scorer="native", digits=6).collect()
+    items = catalog.withColumn("query_id", F.col("id"))
+    variants = embed(query_variants(items), "text", "vector").withColumnRenamed("query_id", "id")
+    steps = P.recommend_by_item(embed(names, "typed_name", "vector"), variants, catalog, 4, dim=C.TEXT_DIM, scorer="native", digits=6).collect()
+    key = lambda r: (r.query_id, r.rank, r.phase, r.id, r.score, r.base_id)
+    assert sorted(key(r) for r in whole if r.id is not None) == sorted(key(r) for r in steps)
+    assert {r.query_id for r in whole} == {r.query_id for r in names.collect()}

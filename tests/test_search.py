@@ -122,3 +122,13 @@ def test_post_filter_prices(spark):
     rows = spark.createDataFrame([("5",), ("x",), (None,), ("10",)], "price STRING")
     keep = lambda **o: [r.price for r in S.price_between(rows, 0, 10, **o).collect()]
     assert keep() == ["5", None, "10"] and keep(missing_price_as_zero=False) == ["5", "10"]
+
+
+@pytest.mark.parametrize("method", ["broadcast", "blocks"])
+def test_nan_bounds_are_off_whatever_the_order(spark, method):
+    catalog = spark.createDataFrame([(f"i{k}", float(k), [1.0, k / 10]) for k in range(10)], "id STRING, price DOUBLE, embedding ARRAY<FLOAT>")
+    asked = [(1, [1.0, 0.0], 5.0, 999999.0), (2, [1.0, 0.0], float("nan"), float("nan")), (3, [1.0, 0.0], float("nan"), 3.0)]
+    for rows in (asked, asked[::-1]):
+        q = spark.createDataFrame(rows, "query_id INT, vector ARRAY<FLOAT>, price_min DOUBLE, price_max DOUBLE").coalesce(1)
+        got = S.cosine_topk(q, catalog, 20, dim=2, method=method).groupBy("query_id").count().collect()
+        assert {r["query_id"]: r["count"] for r in got} == {1: 5, 2: 10, 3: 4}
