@@ -18,13 +18,13 @@ from nearshelf.operators.search import cosine_topk
 HEADLINE = [
     "free_text_capped", "similar_items", "recommend_by_item", "weighted_vector_topk", "resolve_names",
     "resolve_names_exact", "ingest_records", "product_fields", "query_variants", "brand_rule",
-    "autocomplete", "feedback_filter", "pair_prompts", "upsert_latest",
+    "autocomplete", "feedback_filter", "pair_prompts", "upsert_latest", "ingest_vectors", "recommend_from_prompt",
 ]
 
 
 def nearest_480(spark, sf_dir):
     requests = X.requests(spark, sf_dir).drop("price_min", "price_max")
-    return cosine_topk(requests, X.catalog(spark, sf_dir), 480, dim=X.DIM)
+    return cosine_topk(requests, X.spread(X.catalog(spark, sf_dir), "item_no"), 480, dim=X.DIM)
 
 
 def main() -> None:
