@@ -31,7 +31,7 @@ CELLS, CELL_ROW = 1 << 20, 1 << 14
 #: Most shingles that two prefixes may have to share; sets under LEAST_SIZE shingles use 1.
 LEVELS, LEAST_SIZE = 3, 20
 #: Ratio of neighbouring size classes, and the cost of verifying a pair in rows of the join.
-CLASS_RATIO, VERIFY_COST = 1.06, 16.0
+CLASS_RATIO, VERIFY_COST = 1.06, 1.0
 
 
 def _signatures(width: int):
@@ -151,21 +151,31 @@ def _cross_pairs(lists: DataFrame, percent: int) -> DataFrame:
     index = lists.withColumns({"class": size_class, "least": _overlap(n, n, percent)}).withColumn("level", level).where(F.col("level") <= LEVELS)
     probe = lists.withColumn("class", F.explode(F.sequence(_size_class(lowest), size_class)))
     probe = probe.withColumn("least", _overlap(n, F.greatest(lowest, _class_begin(F.col("class"))), percent)).withColumn("level", level).where(F.col("level") <= LEVELS)
-    keys = ["token", "class"]
-    counts = index.groupBy(*keys).agg(
-        *[F.count(F.when(F.col("level") <= k, 1)).alias(f"index{k}") for k in range(1, LEVELS + 1)], F.min("component").alias("low"), F.max("component").alias("high"))
-    probe = written(probe.join(counts, keys).where("low <> high OR component <> low").select(
-        *keys, "doc_id", "n", "pos", "level", "component", *[f"index{k}" for k in range(1, LEVELS + 1)]), "probes")
-    cost = [F.sum(F.when(F.col("level") <= k, F.col(f"index{k}")).otherwise(0)) for k in range(1, LEVELS + 1)]
+    keys, levels = ["token", "class"], range(1, LEVELS + 1)
+    # A set can share k shingles in its prefix of level k only if so many of them stand in other prefixes at all.
+    able = index.groupBy("doc_id").agg(*[F.count(F.when(F.col("level") <= k, 1)).alias(f"able{k}") for k in levels])
+    index = index.join(able, "doc_id").withColumn("fit", F.array(*[(F.col("level") <= k) & (F.col(f"able{k}") >= k) for k in levels]))
+    index = written(index.where(F.exists("fit", lambda x: x)).select(*keys, "doc_id", "n", "pos", "component", "fit"), "index-lists")
+    own = written(index.groupBy(*keys, "component").agg(*[F.count(F.when(F.get("fit", F.lit(k - 1)), 1)).alias(f"own{k}") for k in levels]), "list-sizes")
+    whole = own.groupBy(*keys).agg(*[F.sum(f"own{k}").alias(f"all{k}") for k in levels])
+    # What counts is only what a list holds of other components.
+    probe = probe.join(whole, keys).join(own, [*keys, "component"], "left").withColumns(
+        {f"index{k}": F.col(f"all{k}") - F.coalesce(f"own{k}", F.lit(0)) for k in levels})
+    probe = written(probe.where(F.greatest(*[f"index{k}" for k in levels]) > 0).select(
+        *keys, "doc_id", "n", "pos", "level", "component", *[f"index{k}" for k in levels]), "probes")
+    cost = [F.sum(F.when(F.col("level") <= k, F.col(f"index{k}")).otherwise(0)) for k in levels]
     # Rows of the join, and pairs of which each takes k rows at least, weighted by their verification.
     choice = [F.struct((c + VERIFY_COST * c / k).alias("cost"), F.lit(k).alias("need")) for k, c in enumerate(cost, 1)]
     chosen = probe.groupBy("doc_id", "n").agg(F.array_min(F.array(*choice))["need"].alias("need")).select(
         "doc_id", F.when(F.col("n") >= LEAST_SIZE, F.col("need")).otherwise(1).alias("need"))
     asked = probe.join(chosen, "doc_id").where("level <= need").select(
         *keys, F.col("doc_id").alias("r"), F.col("n").alias("n_r"), F.col("pos").alias("i"), F.col("component").alias("c_r"), "need")
-    held = index.select(*keys, F.col("doc_id").alias("s"), F.col("n").alias("n_s"), F.col("pos").alias("j"), F.col("component").alias("c_s"), "level")
-    most = F.least("i", "j") + F.least(F.col("n_r") - F.col("i"), F.col("n_s") - F.col("j"))
-    met = (F.col("c_r") != F.col("c_s")) & (F.col("level") <= F.col("need")) & (
+    enough = asked.groupBy("r", "class").agg(F.count("*").alias("has"), F.first("need").alias("least")).where("has >= least").select("r", "class")
+    asked = asked.join(enough, ["r", "class"], "left_semi")
+    held = index.select(*keys, F.col("doc_id").alias("s"), F.col("n").alias("n_s"), F.col("pos").alias("j"), F.col("component").alias("c_s"), "fit")
+    # The first shingles that a similar pair shares, as many as r needs, all leave room for the rest of its overlap.
+    most = F.least("i", "j", "need") + F.least(F.col("n_r") - F.col("i"), F.col("n_s") - F.col("j"))
+    met = (F.col("c_r") != F.col("c_s")) & F.get("fit", F.col("need") - 1) & (
         (F.col("n_s") < F.col("n_r")) | ((F.col("n_s") == F.col("n_r")) & (F.col("s") < F.col("r")))) & (
         100 * F.col("n_s") >= percent * F.col("n_r")) & (most >= _overlap(F.col("n_r"), F.col("n_s"), percent))
     pairs = asked.hint("shuffle_merge").join(held, [asked[k] == held[k] for k in keys] + [met]).groupBy("r", "s", "need").agg(F.count("*").alias("shared"))
@@ -203,11 +213,16 @@ def similar_components(docs: DataFrame, *, width: int = 5, percent: int = 80, te
 
     shared = spark.sparkContext.broadcast(_sketch(table))
     prefixes = written(single.mapInArrow(_prefixes(width, percent, shared), "doc_id bigint, n int, token bigint, pos int"), "prefixes")
-    tokens = prefixes.groupBy("token").agg(F.count("*").alias("held"), F.min(F.struct("pos", "n", "doc_id")).alias("centre"))
-    lists = written(prefixes.join(tokens.where("held > 1").select("token", F.col("centre.doc_id").alias("centre")), "token"), "prefix-lists")
+    # Most shingles stand in one prefix only: a bare count sorts them out before wider rows are grouped.
+    held = prefixes.groupBy("token").agg(F.count("*").alias("held")).where("held > 1").select("token")
+    lists = written(prefixes.join(held, "token"), "prefix-lists")
+    middle = lists.groupBy("token").agg(F.min(F.struct("pos", "n", "doc_id")).alias("centre")).select("token", F.col("centre.doc_id").alias("centre"), F.col("centre.n").alias("m"))
 
     # One central set for each set: the one in which most of its lists begin earliest.
-    votes = lists.where("doc_id <> centre").groupBy("doc_id", "centre").agg(F.count("*").alias("votes"))
+    # Similar sets of LEAST_SIZE shingles or more share LEVELS of them in these prefixes, so fewer votes are in vain.
+    fits = (F.col("doc_id") != F.col("centre")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
+    votes = lists.join(middle, "token").where(fits).groupBy("doc_id", "centre").agg(F.count("*").alias("votes"), F.min(F.least("n", "m")).alias("least"))
+    votes = votes.where((F.col("votes") >= LEVELS) | (F.col("least") < LEAST_SIZE))
     best = written(votes.groupBy("doc_id").agg(F.max_by("centre", F.struct("votes", -F.col("centre"))).alias("centre")), "centres")
     to = best.select("doc_id", F.col("centre").alias("at"), F.lit(False).alias("own")).unionByName(
         best.select(F.col("centre").alias("doc_id"), F.col("centre").alias("at"), F.lit(True).alias("own")).distinct())
