@@ -36,8 +36,9 @@ def _without(docs: DataFrame, keys: DataFrame, name: str) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    packed = docs.select(F.struct(*docs.columns).alias("doc"), "text", "lang")
-    return quality_rules(packed, keep=["doc"]).where("kept").select("doc.*")
+    keyed, key = _keyed(docs)
+    judged = quality_rules(keyed.select("text", "lang", F.col(key).alias("key")), keep=["key"])
+    return _without(docs, judged.where("NOT kept").select("key"), "rejected")
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
