@@ -44,10 +44,10 @@ class WaveletMatrix:
             plane = np.packbits(one)
             padded = np.pad(plane, (0, -len(plane) % (BLOCK // 8))).reshape(-1, BLOCK // 8)
             ranks.append(np.concatenate(([0], np.cumsum(np.bitwise_count(padded).sum(1, dtype=np.int64)))).astype(np.uint32).tobytes())
-            low = rest[~one]
+            low = np.compress(~one, rest)
             zeros.append(len(low))
             planes.append(plane.tobytes())
-            rest = np.concatenate((low, rest[one]))
+            rest = np.concatenate((low, np.compress(one, rest)))
         return cls(len(ids), zeros, planes, ranks)
 
     def _bit(self, level: int, i: int) -> int:
@@ -114,8 +114,8 @@ class WaveletMatrix:
             one = np.unpackbits(self.planes[level], count=self.n).view(bool)
             before = np.empty(self.n, kind)
             z = self.zeros[level]
-            before[~one] = rest[:z]
-            before[one] = rest[z:] | kind(1 << (self.bits - 1 - level))
+            before[np.flatnonzero(~one)] = rest[:z]
+            before[np.flatnonzero(one)] = rest[z:] | kind(1 << (self.bits - 1 - level))
             rest = before
         return rest.astype(np.uint32)
 
