@@ -80,14 +80,32 @@ def test_og_url(spark):
     assert [r["source_url"] for r in got] == ["u1", None, "b c"]
 
 
-def test_repeated_keys_follow_the_session_setting(spark):
-    html = page('{"@type":"Product","sku":"1","sku":"2","name":"n"}')
-    assert records(spark, html)[0]["status"] == "skip_parse"
-    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    try:
-        assert records(spark, html)[0]["sku"] == "2"
-    finally:
-        spark.conf.unset("spark.sql.variant.allowDuplicateKeys")
+def test_repeated_keys_and_nan_are_read(spark):
+    def one(body):
+        return records(spark, page(body))[0]
+
+    assert one('{"@type":"Product","sku":"1","sku":"2","name":"n"}')["sku"] == "2"
+    got = one('{"@type":"Product","sku":"1","name":"n","weight":NaN,"offers":[{"price":3}],"category":"Red Wine"}')
+    assert (got["status"], got["price"]) == ("ok", 3.0)
+    listed = one('[{"@type":"Other"},{"@type":"Product","name":"a","name":"b","sku":"s"}]')
+    assert (listed["sku"], listed["name"]) == ("s", "b")
+    assert one('{"@type":"Product","sku":"1",')["status"] == "skip_parse"
+
+
+def test_own_replacement_marks_stay(spark):
+    from nearshelf.sources.pages import decode_text
+
+    mark = "\ufffd".encode()
+    rows = spark.createDataFrame([(b"a" + mark + b"b",), (b"a\xff" + mark + b"\xfeb",), (b"\xff",)], "c BINARY")
+    assert [r.t for r in rows.select(decode_text(F.col("c")).alias("t")).collect()] == ["a\ufffdb", "a\ufffdb", ""]
+
+
+def test_the_last_page_of_a_key_wins_in_any_order(spark):
+    from nearshelf.sources.vector_table import latest_by_key
+
+    rows = [("k", 1, "a"), ("k", 1, "b"), ("k", 0, "z")]
+    got = {tuple(latest_by_key(spark.createDataFrame(r, "id STRING, batch_no INT, x STRING").coalesce(1), "id", "batch_no").first()) for r in (rows, rows[::-1])}
+    assert len(got) == 1
 
 
 def test_pages_are_parsed_once(spark):
