@@ -28,7 +28,7 @@ from nearshelf.llm.tables import small, written
 
 #: Cells of the frequency sketch (its size never grows) and cells per row of it.
 CELLS, CELL_ROW = 1 << 20, 1 << 14
-#: Most shingles that two prefixes may have to share; sets under LEAST_SIZE shingles use 1.
+#: Most shingles that two prefixes may have to share; sets under LEAST_SIZE shingles ask for 1.
 LEVELS, LEAST_SIZE = 3, 20
 #: Ratio of neighbouring size classes, and the cost of verifying a pair in rows of the join.
 CLASS_RATIO, VERIFY_COST = 1.06, 1.0
@@ -95,7 +95,8 @@ def _prefixes(width: int, percent: int, shared):
                 if n:
                     order = np.argsort(cells[(s & np.uint64(CELLS - 1)).astype(np.int64)] | (s >> np.uint64(24)), kind="stable")
                     least = -(-percent * n // 100)
-                    found = s[order[:min(n, n - least + (LEVELS if n >= LEAST_SIZE else 1))]]
+                    # Sets of LEAST_SIZE or more ask for up to LEVELS, also of smaller ones that they can be similar to.
+                    found = s[order[:min(n, n - least + (LEVELS if 100 * n >= percent * LEAST_SIZE else 1))]]
                     tokens.append(found)
                     docs.append(ids[k])
                     sizes.append((len(found), n))
@@ -167,7 +168,7 @@ def _cross_pairs(lists: DataFrame, percent: int) -> DataFrame:
     # Rows of the join, and pairs of which each takes k rows at least, weighted by their verification.
     choice = [F.struct((c + VERIFY_COST * c / k).alias("cost"), F.lit(k).alias("need")) for k, c in enumerate(cost, 1)]
     chosen = probe.groupBy("doc_id", "n").agg(F.array_min(F.array(*choice))["need"].alias("need")).select(
-        "doc_id", F.when(F.col("n") >= LEAST_SIZE, F.col("need")).otherwise(1).alias("need"))
+        "doc_id", F.when(F.col("n") >= LEAST_SIZE, F.least("need", lowest.cast("int"))).otherwise(1).alias("need"))
     asked = probe.join(chosen, "doc_id").where("level <= need").select(
         *keys, F.col("doc_id").alias("r"), F.col("n").alias("n_r"), F.col("pos").alias("i"), F.col("component").alias("c_r"), "need")
     enough = asked.groupBy("r", "class").agg(F.count("*").alias("has"), F.first("need").alias("least")).where("has >= least").select("r", "class")

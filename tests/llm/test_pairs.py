@@ -83,6 +83,30 @@ def test_jaccard_against_all_pairs(spark, width, percent):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == plain_components(rows, width, percent)
 
 
+def short_families(seed):
+    """Texts of 17 to 25 four-word shingles, each family cut at the ends from one text, with other words put there."""
+    rng = random.Random(seed)
+    texts = []
+    for f in range(40):
+        w, x, y, z = [f"f{f}w{k}" for k in range(40)], f"f{f}x", f"f{f}y", f"f{f}z"
+        texts += [[x, *w[1:22], y], w[:22], [x, *w[1:21], z], [x, *w[1:20]]]
+        for _ in range(4):
+            n = rng.randint(17, 25) + 3
+            a = rng.randint(0, 3)
+            part = w[a:a + n]
+            part[:1] = rng.choice([[x], [y], part[:1]])
+            part[-1:] = rng.choice([[y], [z], part[-1:]])
+            texts.append(part)
+    return [" ".join(t) for t in texts]
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_jaccard_of_short_families(spark, percent):
+    rows = list(enumerate(short_families(percent)))
+    got = similar_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), width=4, percent=percent).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == plain_components(rows, 4, percent)
+
+
 def test_jaccard_edges(spark):
     rows = [(r[0], r[1]) for r in edge_rows()]
     got = similar_components(edge_docs(spark), width=4, percent=85).collect()
