@@ -3,10 +3,11 @@
 A byte-level tokenizer of this kind never joins characters across a space that
 stands alone between other characters, across a lone line break, or between a word
 of letters and the stops that end it. So a text cut at those places has the ids of
-its pieces, one after the other. Texts with any other white space, or with control
-characters, are encoded whole.
+its pieces, one after the other. Texts with any other white space, with control
+characters, or with the string of an added token are encoded whole.
 """
 
+import re
 from array import array
 
 import numpy as np
@@ -54,7 +55,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # A text that holds an added token's string goes whole, as the library looks for those strings first.
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.unusual = "|".join([UNUSUAL, *map(re.escape, added)])
+        # Pieces side by side could make such a string only if it holds a space.
+        self.together = 1 if any(" " in x for x in added) else 256
         self._forget()
 
     def _forget(self) -> None:
@@ -80,8 +85,8 @@ class Encoder:
         """Numbers of new strings. Those that begin with a space keep their ids side by side, so one call encodes many."""
         spaced, other = [k for k, p in enumerate(strings) if p[0] == " "], [k for k, p in enumerate(strings) if p[0] != " "]
         first = len(self.sizes)
-        for at in range(0, len(spaced), 256):
-            group = [strings[k] for k in spaced[at:at + 256]]
+        for at in range(0, len(spaced), self.together):
+            group = [strings[k] for k in spaced[at:at + self.together]]
             e = self.tokenizer.encode("".join(group), add_special_tokens=False)
             begins = np.fromiter((a for a, _ in e.offsets), np.int64, len(e.ids))
             cut = np.searchsorted(begins, np.cumsum(np.fromiter(map(len, group), np.int64, len(group))), "left")
@@ -110,7 +115,7 @@ class Encoder:
         """Ids of all texts, each with end_id after it, and the number of ids of each text."""
         if self.table.shape[1] > REMEMBERED:
             self._forget()
-        odd = pc.match_substring_regex(texts, UNUSUAL).to_numpy(zero_copy_only=False).astype(bool)
+        odd = pc.match_substring_regex(texts, self.unusual).to_numpy(zero_copy_only=False).astype(bool)
         rows = np.flatnonzero(odd)
         special = {}
         for row, ids in zip(rows.tolist(), self.whole(texts.take(rows).to_pylist())):

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 from pyspark.sql import functions as F
 
 from nearshelf.llm.encoding import Encoder
@@ -96,6 +97,15 @@ def test_pieces_have_the_tokenizers_ids():
         assert [ids[b - n:b].tolist() for n, b in zip(sizes, ends)] == [x + [2] for x in encoder.whole(texts)]
 
 
+def test_added_tokens_have_the_librarys_ids():
+    texts = ["<|endoftext|>", "a <|endoftext|> b.", "a<|endoftext|>, b\nc", "<|endoftext|", "a b", *TEXTS]
+    ids, sizes = Encoder(BPE).encode(pa.array(texts, pa.large_string()), 2)
+    fresh = Tokenizer.from_file(BPE)
+    want = [fresh.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    assert [ids[b - n:b].tolist() for n, b in zip(sizes, np.cumsum(sizes))] == want
+    assert want[0] == [50256, 2]
+
+
 @pytest.mark.parametrize("bits,n", [(1, 1), (3, 40), (16, 3000), (17, 600)])
 def test_wavelet_matrix(bits, n):
     a = np.random.default_rng(n).integers(0, min(1 << bits, 70_000), n)
