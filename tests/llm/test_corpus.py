@@ -63,6 +63,25 @@ def test_rates_against_plain_steps(spark, weights, whole):
             assert abs(sum(t * p[k] * got[n] for n, (t, p) in enumerate(rows)) - w * total) < 0.01 * total
 
 
+@pytest.mark.parametrize("whole", [None, "good"])
+def test_soft_posteriors_meet_targets(spark, whole):
+    weights, rng, rows = {"good": 0.95, "poor": 0.05, "toxic": 0.0}, random.Random(7), []
+    for _ in range(1500):
+        k, soft = rng.choices([0, 1, 2], [68, 29, 3])[0], [rng.gammavariate(0.6, 1) for _ in range(3)]
+        soft[k] += 2.5
+        rows.append((rng.randint(50, 500), [x / sum(soft) for x in soft]))
+    members = spark.createDataFrame([(k, t, p) for k, (t, p) in enumerate(rows)], "doc_id long, n_tokens long, posterior array<double>").repartition(3)
+    rate = {r["doc_id"]: r["rate"] for r in fit_rates(members, weights, whole=whole).collect()}
+    good, poor = (sum(t * p[k] * rate[n] for n, (t, p) in enumerate(rows)) for k in (0, 1))
+    total = sum(t for t, _ in rows)
+    assert min(rate.values()) >= 0
+    if whole:
+        assert all(rate[n] >= 1 for n, (_, p) in enumerate(rows) if p[0] == max(p))
+        assert good >= sum(t * p[0] for t, p in rows) - 2e-4 * total and abs(0.05 * good - 0.95 * poor) < 2e-4 * total
+    else:
+        assert abs(good - 0.95 * total) < 2e-4 * total and abs(poor - 0.05 * total) < 2e-4 * total
+
+
 def test_mixing_edges(spark):
     labels = spark.createDataFrame([(4, 1, 0), (5, 0, 0), (5, 1, None), (12, 1, 1), (8, None, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
     out = mix_sources(edge_docs(spark), labels).collect()
