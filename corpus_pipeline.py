@@ -18,6 +18,9 @@ from nearshelf.llm.tables import small, written
 from nearshelf.llm.token_shards import read_documents, write_token_shards
 from nearshelf.session import work_folder
 
+#: A text further from its language's common words than this share of the way to a text with none is rejected.
+COMMON_SHARE = 0.8
+
 
 def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
     """docs with a key per row, so that rows without doc_id, or with one doc_id, are judged one by one; the key's name."""
@@ -37,7 +40,7 @@ def _without(docs: DataFrame, keys: DataFrame, name: str) -> DataFrame:
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     keyed, key = _keyed(docs)
-    judged = quality_rules(keyed.select("text", "lang", F.col(key).alias("key")), keep=["key"])
+    judged = quality_rules(keyed.select("text", "lang", F.col(key).alias("key")), keep=["key"], max_common_share=COMMON_SHARE)
     return _without(docs, judged.where("NOT kept").select("key"), "rejected")
 
 

@@ -117,14 +117,16 @@ def language_references(features: DataFrame, *, common: Mapping[str, Sequence[st
 
 def quality_rules(docs: DataFrame, *, keep: Sequence[str] | None = None, common: Mapping[str, Sequence[str]] = COMMON_WORDS,
                   min_words: int = 50, max_repeat_percent: int = 50, compare_from: int = 80, max_chars: float = 0.35,
-                  max_common: float = 0.45, text: str = "text", lang: str = "lang") -> DataFrame:
+                  max_common: float = 0.45, max_common_share: float | None = None, text: str = "text", lang: str = "lang") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, js_chars, js_common, kept.
 
     A document fails the base rules with fewer than min_words words, or more than
     max_repeat_percent of its words in repeated 3-word windows. Otherwise, from
     compare_from words on, it is rejected if its Jensen-Shannon distance to the
     reference of its language is over max_chars (character classes) or max_common
-    (common words). The references are sums over all documents. Counts and histograms
+    (common words). max_common_share rejects as well what is further by common words than
+    that share of the distance of a text without any: max_common alone may be over all of it
+    and then finds only texts with too many. The references are sums over all documents. Counts and histograms
     are written once to the shared folder, with the columns of docs named in keep
     (all of them by default), so no text is read twice.
 
@@ -156,5 +158,10 @@ def quality_rules(docs: DataFrame, *, keep: Sequence[str] | None = None, common:
         "js_chars": F.round(_distance(F.col("_chars"), reference("ref_chars")), 6),
         "js_common": F.round(_distance(F.col("_common"), reference("ref_common")), 6),
     })
-    far = (F.col("n_words") >= compare_from) & ((F.col("js_chars") > max_chars) | (F.col("js_common") > max_common))
+    odd = (F.col("js_chars") > max_chars) | (F.col("js_common") > max_common)
+    if max_common_share is not None:
+        bare = F.transform(F.col("_common"), lambda x, i: F.when(i == F.size("_common") - 1, 1.0).otherwise(0.0))
+        most = _distance(bare, reference("ref_common"))
+        odd = odd | ((most > 0) & (F.col("js_common") > max_common_share * most))
+    far = (F.col("n_words") >= compare_from) & odd
     return df.withColumn("kept", ~F.col("base_failed") & ~far).select(*keep, *made)

@@ -1,5 +1,6 @@
 """Operators that judge row by row: quality rules, secrets, languages, tokens, URLs."""
 
+import random
 import re
 import zlib
 from collections import Counter
@@ -8,12 +9,13 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import pytest
-from tokenizers import Tokenizer
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
+import corpus_pipeline
 from nearshelf.llm.encoding import Encoder
 from nearshelf.llm.language_id import Pieces, identify_language
-from nearshelf.llm.quality_rules import quality_rules
+from nearshelf.llm.quality_rules import COMMON_WORDS, quality_rules
 from nearshelf.llm.secret_scan import BASE, MORE, Rule, scan_secrets, spans_text, trigram_query
 from nearshelf.llm.token_shards import WaveletMatrix, count_tokens, find_token, read_documents, token_at, write_token_shards
 from nearshelf.llm.url_filter import filter_urls
@@ -53,6 +55,22 @@ def test_quality_divergence(spark):
     assert not got[100] and all(got[i] for i in range(40))
 
 
+def test_quality_without_common_words(spark):
+    rng = random.Random(4)
+
+    def text(lang, share, n=120):
+        other = prose(rng.random(), n).split()
+        return " ".join(rng.choice(COMMON_WORDS[lang]) if rng.random() < share else w for w in other)
+
+    rows = [(k, text(lang, 0.27), lang) for k, lang in enumerate(["en", "de"] * 60)]
+    salad, wrong = text("en", 0.0), text("de", 0.27)
+    menu = " ".join(f"{w}, {v} and" if k % 12 == 0 else f"{w}, {v}" for k, (w, v) in enumerate(zip(prose(8, 60).split(), prose(9, 60).split())))
+    rows += [(1000, salad, "en"), (1001, wrong, "en"), (1002, menu, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["kept"] for r in quality_rules(docs, max_common_share=corpus_pipeline.COMMON_SHARE).collect()}
+    assert all(got[k] for k in range(120)) and not any(got[k] for k in (1000, 1001, 1002))
+
+
 def plain_spans(text, rules):
     out = []
     for n, r in enumerate(rules):
