@@ -57,7 +57,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn at their rates: none of a domain of weight 0, no good one lost, the rest to fit the weights."""
+    """Documents drawn at their rates: none most likely of a domain of weight 0, all most likely good, the rest to fit the weights."""
     keyed, key = _keyed(docs)
     rated = mix_sources(keyed.select("doc_id", "text", key), spark.read.parquet(f"{sf_dir}/labels.parquet"), weights=WEIGHTS, whole="good", carry=[key])
     return _without(docs, rated.where("NOT kept").select(key), "not-drawn")
