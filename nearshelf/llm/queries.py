@@ -5,14 +5,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nearshelf.llm.collocations import mine_phrases
 from nearshelf.llm.decontaminate import find_contamination
+from nearshelf.llm.fill_in_middle import fill_in_middle, restored
 from nearshelf.llm.jaccard_join import similar_components
 from nearshelf.llm.language_id import identify_language
 from nearshelf.llm.line_dedup import dedup_lines
 from nearshelf.llm.mixing import mix_sources
+from nearshelf.llm.packing import pack_documents
 from nearshelf.llm.quality_rules import quality_rules
 from nearshelf.llm.secret_scan import scan_secrets, spans_text
-from nearshelf.llm.sql import OP2, OP5, OP9
+from nearshelf.llm.sql import OP2, OP5, OP9, OP11, OP12
 from nearshelf.llm.suffix_dedup import repeated_bytes
 from nearshelf.llm.token_shards import read_documents, write_token_shards
 from nearshelf.llm.url_filter import filter_urls
@@ -99,3 +102,23 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query(OP11)
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_phrases(documents(spark, sf_dir))
+
+
+@query(OP12)
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle(documents(spark, sf_dir)).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(restored(F.col("form"), F.col("output")), 256).alias("restored_sha256"))
+
+
+@query()
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = pack_documents(documents(spark, sf_dir), tokenizer_path=public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

@@ -101,3 +101,54 @@ FROM parts LEFT JOIN kinds USING (doc_id, line_no) GROUP BY doc_id"""
 
 
 OP5 = _line_dedup(5)
+
+
+def _phrases(longest: int, least: int, top: int, share: int) -> str:
+    sizes = " UNION ALL ".join(
+        f"SELECT lang, w[i:i + {k - 1}] AS p FROM (SELECT lang, w, unnest(range(1, len(w) - {k} + 2)) AS i FROM pieces WHERE len(w) >= {k})"
+        for k in range(1, longest + 1))
+    return f"""
+WITH pieces AS (
+  SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents)),
+totals AS (SELECT lang, sum(len(w)) AS n FROM pieces GROUP BY lang),
+f AS (SELECT lang, p, count(*) AS a FROM ({sizes}) GROUP BY lang, p HAVING count(*) >= {least}),
+cuts AS (SELECT lang, p, a, unnest(range(1, len(p))) AS k FROM f WHERE len(p) >= 2),
+scores AS (
+  SELECT c.lang, c.p, c.a, min({{'score': (2000000::HUGEINT * c.a) // (x.a + y.a), 'k': c.k, 'l': x.a, 'r': y.a}}) AS s
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.p = c.p[1:c.k] JOIN f y ON y.lang = c.lang AND y.p = c.p[c.k + 1:] GROUP BY c.lang, c.p, c.a),
+parts AS (
+  SELECT lang, a, p[i:j] AS p
+  FROM (SELECT lang, a, p, i, unnest(range(i + 1, len(p) + 1)) AS j FROM (SELECT lang, a, p, unnest(range(1, len(p))) AS i FROM f WHERE len(p) >= 3))
+  WHERE j - i + 1 < len(p)),
+inside AS (SELECT lang, p, max(a) AS most FROM parts GROUP BY lang, p),
+kept AS (
+  SELECT s.lang, array_to_string(s.p, ' ') AS phrase, s.a, s.s.l AS l, s.s.r AS r, s.s.score AS score, len(s.p) AS n_words
+  FROM scores s LEFT JOIN inside i USING (lang, p) WHERE i.most IS NULL OR 100 * i.most::HUGEINT < {share} * s.a::HUGEINT),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score, n_words::INT AS n_words
+FROM ranked JOIN totals USING (lang) WHERE rank <= {top}"""
+
+
+OP11 = _phrases(4, 30, 2000, 80)
+
+
+def _fill_in_middle(seed: int, plain_percent: int, spm_percent: int) -> str:
+    draws = ", ".join(f"('0x' || substr(h, {8 * k + 1}, 8))::BIGINT AS h{k + 1}" for k in range(4))
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS t,
+  sha256('{seed}:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+drawn AS (SELECT *, {draws} FROM d),
+cut AS (
+  SELECT *, least(h1 % (len(t) + 1), h2 % (len(t) + 1)) AS a, greatest(h1 % (len(t) + 1), h2 % (len(t) + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= {100 - plain_percent} THEN 'plain'
+      WHEN h4 % 100 < {spm_percent} THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+parts AS (SELECT *, array_to_string(t[1:a], '') AS p, array_to_string(t[a + 1:b], '') AS m, array_to_string(t[b + 1:], '') AS s FROM cut)
+SELECT doc_id, len(t)::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END::BIGINT AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(m) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM parts"""
+
+
+OP12 = _fill_in_middle(1, 10, 20)

@@ -9,10 +9,10 @@ from nearshelf.session import work_folder
 BROADCAST_ROWS = 500_000
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read from there."""
+def written(df: DataFrame, name: str, block_bytes: int | None = None) -> DataFrame:
+    """df, written to the shared folder and read from there; block_bytes bounds a row group, for rows of some MB."""
     folder = work_folder(df.sparkSession, name)
-    df.write.parquet(folder)
+    (df.write if block_bytes is None else df.write.option("parquet.block.size", block_bytes)).parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
