@@ -19,12 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from nearshelf.llm.batches import slices
+from nearshelf.llm.batches import release, slices
 from nearshelf.llm.shingles import _ODD, mixed
 from nearshelf.llm.tables import written
 
 #: Text encoded at a time, in bytes.
-CHUNK = 8_000_000
+CHUNK = 4_000_000
 #: Places of a filter of codes: so many per code, and at most so many (16 MB).
 PLACES_PER_CODE, MOST_PLACES = 24, 1 << 27
 #: Slices of a language that are ranked on their own before its final ranking.
@@ -141,8 +141,9 @@ def _phrases(row, n: int, filters: dict):
 def _rows(batches: Iterator) -> Iterator[dict]:
     for batch in batches:
         for k in range(batch.num_rows):
-            yield {"lang": batch.column("lang")[k].as_py(), "ids": batch.column("ids")[k].as_py(),
-                   "hashes": batch.column("hashes")[k].as_py(), "words": batch.column("words")[k].values}
+            yield {"lang": batch.column("lang")[k].as_py(), "ids": batch.column("ids")[k].as_buffer(),
+                   "hashes": batch.column("hashes")[k].as_buffer(), "words": batch.column("words")[k].values}
+    release()
 
 
 def _same(ids: np.ndarray, at: np.ndarray, code: np.ndarray, n: int):
@@ -159,21 +160,29 @@ def _same(ids: np.ndarray, at: np.ndarray, code: np.ndarray, n: int):
 def _count(encoded: DataFrame, n: int, least: int, filters: dict[str, Places]) -> DataFrame:
     """Exact counts of the phrases of n words that the filters ask for, those that occur least times or more.
 
-    First by code only, so that the many rare phrases never travel as strings.
+    First by code only, so that the many rare phrases never travel as strings; phrases that
+    are asked for as a whole are not rare.
     """
     spark = encoded.sparkSession
     given = spark.sparkContext.broadcast(filters)
+    frequent = given
 
     def by_code(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for row in _rows(batches):
             _, at, code, _ = _phrases(row, n, given.value)
-            codes, counts = np.unique(code[at], return_counts=True)
+            code = code[at]
+            codes, counts = np.unique(code, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(counts.astype(np.int64))], ["code", "f"])
 
-    codes = encoded.mapInArrow(by_code, "code bigint, f bigint").groupBy("code").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
-    frequent = spark.sparkContext.broadcast(Places(written(codes.select("code"), "codes")))
+    if "whole" not in filters:
+        codes = encoded.mapInArrow(by_code, "code bigint, f bigint")
+        if n > 1:
+            # A row has each code once, and most codes are in few rows: summing again before the exchange saves nothing.
+            codes = codes.repartition("code")
+        codes = codes.groupBy("code").agg(F.sum("f").alias("f")).where(F.col("f") >= least).select("code")
+        frequent = spark.sparkContext.broadcast({"whole": Places(written(codes, "codes"))})
 
     def by_phrase(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -181,7 +190,7 @@ def _count(encoded: DataFrame, n: int, least: int, filters: dict[str, Places]) -
 
         for row in _rows(batches):
             ids, at, code, part = _phrases(row, n, given.value)
-            at = at[frequent.value.hold(code[at])]
+            at = at[frequent.value["whole"].hold(code[at])]
             at, counts = _same(ids, at, code, n)
             words = [row["words"].take(pa.array(ids[at + k])) for k in range(n)]
             phrase = pc.binary_join_element_wise(*words, " ") if n > 1 else words[0]
