@@ -23,8 +23,8 @@ from nearshelf.llm.batches import release, slices
 from nearshelf.llm.shingles import _ODD, mixed
 from nearshelf.llm.tables import written
 
-#: Text encoded at a time, in bytes.
-CHUNK = 4_000_000
+#: Text encoded at a time, in bytes, and codes that are summed before they leave a task.
+CHUNK, TOGETHER = 1_000_000, 4_000_000
 #: Places of a filter of codes: so many per code, and at most so many (16 MB).
 PLACES_PER_CODE, MOST_PLACES = 24, 1 << 27
 #: Slices of a language that are ranked on their own before its final ranking.
@@ -142,7 +142,7 @@ def _rows(batches: Iterator) -> Iterator[dict]:
     for batch in batches:
         for k in range(batch.num_rows):
             yield {"lang": batch.column("lang")[k].as_py(), "ids": batch.column("ids")[k].as_buffer(),
-                   "hashes": batch.column("hashes")[k].as_buffer(), "words": batch.column("words")[k].values}
+                   "hashes": batch.column("hashes")[k].as_buffer(), "words": batch.column("words")[k].values if "words" in batch.schema.names else None}
     release()
 
 
@@ -170,16 +170,25 @@ def _count(encoded: DataFrame, n: int, least: int, filters: dict[str, Places]) -
     def by_code(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        def summed(some: list):
+            codes, counts = np.unique(np.concatenate(some), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(counts.astype(np.int64))], ["code", "f"])
+
+        held, size = [], 0
         for row in _rows(batches):
             _, at, code, _ = _phrases(row, n, given.value)
-            code = code[at]
-            codes, counts = np.unique(code, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(counts.astype(np.int64))], ["code", "f"])
+            held.append(code[at])
+            size += len(at)
+            if size >= TOGETHER:
+                yield summed(held)
+                held, size = [], 0
+        if held:
+            yield summed(held)
 
     if "whole" not in filters:
-        codes = encoded.mapInArrow(by_code, "code bigint, f bigint")
+        codes = encoded.select("lang", "hashes", "ids").mapInArrow(by_code, "code bigint, f bigint")
         if n > 1:
-            # A row has each code once, and most codes are in few rows: summing again before the exchange saves nothing.
+            # Most codes are summed already: doing it again before the exchange saves nothing.
             codes = codes.repartition("code")
         codes = codes.groupBy("code").agg(F.sum("f").alias("f")).where(F.col("f") >= least).select("code")
         frequent = spark.sparkContext.broadcast({"whole": Places(written(codes, "codes"))})
