@@ -21,10 +21,10 @@ from pyspark.sql.window import Window as W
 
 from nearshelf.llm.batches import release, slices
 from nearshelf.llm.shingles import _ODD, mixed
-from nearshelf.llm.tables import written
+from nearshelf.llm.tables import LARGE_ROWS, written
 
 #: Text encoded at a time, in bytes, and codes that are summed before they leave a task.
-CHUNK, TOGETHER = 1_000_000, 4_000_000
+CHUNK, TOGETHER = 2_000_000, 3_000_000
 #: Places of a filter of codes: so many per code, and at most so many (16 MB).
 PLACES_PER_CODE, MOST_PLACES = 24, 1 << 27
 #: Slices of a language that are ranked on their own before its final ranking.
@@ -287,7 +287,7 @@ def mine_phrases(docs: DataFrame, *, longest: int = 4, least: int = 30, top: int
     if not 2 <= longest <= 4:
         raise ValueError("longest must be 2, 3 or 4")
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    folder = written(rows.mapInArrow(_encode, ENCODED), "words", block_bytes=16 << 20)
+    folder = written(rows.mapInArrow(_encode, ENCODED), "words", **LARGE_ROWS)
     totals = folder.groupBy("lang").agg(F.sum("n").alias("n"))
     words = _count(folder, 1, least, {})
     known = {"words": Places(words)}

@@ -9,10 +9,15 @@ from nearshelf.session import work_folder
 BROADCAST_ROWS = 500_000
 
 
-def written(df: DataFrame, name: str, block_bytes: int | None = None) -> DataFrame:
-    """df, written to the shared folder and read from there; block_bytes bounds a row group, for rows of some MB."""
+#: Sizes of pages and row groups are looked at after every row, as a hundred rows of some MB would be one page;
+#: and a codec that works in a stream, as others hold a whole page outside of the heap.
+LARGE_ROWS = {"parquet.block.size": 16 << 20, "parquet.page.size.row.check.min": 1, "parquet.block.size.row.check.min": 1, "compression": "zstd"}
+
+
+def written(df: DataFrame, name: str, **options) -> DataFrame:
+    """df, written to the shared folder with these options and read from there."""
     folder = work_folder(df.sparkSession, name)
-    (df.write if block_bytes is None else df.write.option("parquet.block.size", block_bytes)).parquet(folder)
+    df.write.options(**options).parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
