@@ -23,8 +23,10 @@ from nearshelf.llm.batches import release, slices
 from nearshelf.llm.shingles import _ODD, mixed
 from nearshelf.llm.tables import LARGE_ROWS, written
 
-#: Text encoded at a time, in bytes, and codes that are summed before they leave a task.
-CHUNK, TOGETHER = 2_000_000, 3_000_000
+#: Text encoded at a time, in bytes, and codes and phrases that are summed before they leave a task.
+CHUNK, CODES, PHRASES = 2_000_000, 3_000_000, 500_000
+#: Codes are first counted by this many digits, so that one number holds a code and a count.
+DIGITS = 40
 #: Places of a filter of codes: so many per code, and at most so many (16 MB).
 PLACES_PER_CODE, MOST_PLACES = 24, 1 << 27
 #: Slices of a language that are ranked on their own before its final ranking.
@@ -171,32 +173,44 @@ def _count(encoded: DataFrame, n: int, least: int, filters: dict[str, Places]) -
         import pyarrow as pa
 
         def summed(some: list):
-            codes, counts = np.unique(np.concatenate(some), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(counts.astype(np.int64))], ["code", "f"])
+            codes, counts = np.unique(np.concatenate(some) & np.uint64((1 << DIGITS) - 1), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array((codes << np.uint64(64 - DIGITS)).view(np.int64) | counts)], ["both"])
 
         held, size = [], 0
         for row in _rows(batches):
             _, at, code, _ = _phrases(row, n, given.value)
             held.append(code[at])
             size += len(at)
-            if size >= TOGETHER:
+            if size >= CODES:
                 yield summed(held)
                 held, size = [], 0
         if held:
             yield summed(held)
 
     if "whole" not in filters:
-        codes = encoded.select("lang", "hashes", "ids").mapInArrow(by_code, "code bigint, f bigint")
+        both = encoded.select("lang", "hashes", "ids").mapInArrow(by_code, "both bigint")
+        code = F.shiftrightunsigned("both", 64 - DIGITS)
         if n > 1:
             # Most codes are summed already: doing it again before the exchange saves nothing.
-            codes = codes.repartition("code")
-        codes = codes.groupBy("code").agg(F.sum("f").alias("f")).where(F.col("f") >= least).select("code")
+            both = both.repartition(code)
+        codes = both.groupBy(code.alias("code")).agg(F.sum(F.col("both").bitwiseAND((1 << 64 - DIGITS) - 1)).alias("f"))
+        codes = codes.where(F.col("f") >= least).select("code")
         frequent = spark.sparkContext.broadcast({"whole": Places(written(codes, "codes"))})
 
     def by_phrase(batches: Iterator) -> Iterator:
         import pyarrow as pa
         import pyarrow.compute as pc
 
+        def summed(some: list):
+            table = pa.concat_tables(some).combine_chunks()
+            _, first, inverse = np.unique(table.column("code").to_numpy(), return_index=True, return_inverse=True)
+            firsts, again = table.take(first), pa.array(inverse)
+            if all(firsts.column(c).take(again).equals(table.column(c)) for c in ("lang", "phrase")):
+                counts = np.bincount(inverse, table.column("f").to_numpy(), len(first)).astype(np.int64)
+                table = firsts.set_column(5, "f", pa.array(counts))
+            return table.to_batches()
+
+        held, size = [], 0
         for row in _rows(batches):
             ids, at, code, part = _phrases(row, n, given.value)
             at = at[frequent.value["whole"].hold(code[at])]
@@ -204,9 +218,15 @@ def _count(encoded: DataFrame, n: int, least: int, filters: dict[str, Places]) -
             words = [row["words"].take(pa.array(ids[at + k])) for k in range(n)]
             phrase = pc.binary_join_element_wise(*words, " ") if n > 1 else words[0]
             head, tail = (part[at], part[at + 1]) if n > 1 else (code[at], code[at])
-            yield pa.RecordBatch.from_arrays([
-                pa.array([row["lang"]] * len(at), pa.string()), phrase, *(pa.array(x.view(np.int64)) for x in (code[at], head, tail)),
-                pa.array(counts.astype(np.int64))], ["lang", "phrase", "code", "head", "tail", "f"])
+            held.append(pa.table([
+                pa.repeat(pa.scalar(row["lang"], pa.string()), len(at)), phrase, *(pa.array(x.view(np.int64)) for x in (code[at], head, tail)),
+                pa.array(counts.astype(np.int64))], ["lang", "phrase", "code", "head", "tail", "f"]))
+            size += len(at)
+            if size >= PHRASES:
+                yield from summed(held)
+                held, size = [], 0
+        if held:
+            yield from summed(held)
 
     found = encoded.mapInArrow(by_phrase, COUNTED).groupBy("lang", "phrase").agg(
         *(F.first(c).alias(c) for c in ("code", "head", "tail")), F.sum("f").alias("f")).where(F.col("f") >= least)
