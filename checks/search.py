@@ -9,7 +9,9 @@ from checks.sql_parts import (
 )
 from nearshelf.functions.text import item_key as key_of
 from nearshelf.operators import candidates as C, diversify as D, resolve as R, search as S
+from nearshelf.operators.cells import cosine_topk_cells as search_cells, write_cells
 from nearshelf.plans import recommend as P
+from nearshelf.session import work_folder
 
 DIM = X.DIM
 K = 6
@@ -62,6 +64,23 @@ def cosine_topk_blocks(spark, sf_dir):
     )
 
 
+@check("cosine_topk_chunks", f"""WITH {CAT}, {VEC}, {REQ}, {scored('req', 20)}
+    SELECT query_id, variant_no, rank, id, score, name FROM matches""")
+def cosine_topk_chunks(spark, sf_dir):
+    """64 chunks of queries or more, over the catalog in place."""
+    asked, cat = X.requests(spark, sf_dir), _catalog(spark, sf_dir)
+    return S.cosine_topk(asked, cat, 20, dim=DIM, digits=6, payload=("name",), method="chunks", seed_share=4,
+                         broadcast_bytes=max(1, asked.count() // 64) * (8 * DIM + 16 * 20))
+
+
+@check("cosine_topk_cells", f"""WITH {CAT}, {VEC}, {REQ}, {scored('req', 20)}
+    SELECT query_id, variant_no, rank, id, score FROM matches""")
+def cosine_topk_cells(spark, sf_dir):
+    folder, cat = work_folder(spark, "cells"), _catalog(spark, sf_dir).select("id", "embedding", "price")
+    write_cells(cat, folder, dim=DIM)
+    return search_cells(X.requests(spark, sf_dir), folder, cat.schema, 20, dim=DIM, digits=6)
+
+
 @check("price_prefilter_topk", f"""WITH {CAT}, {VEC}, {REQ}, {scored('req', 10)}
     SELECT query_id, rank, id, score, price FROM matches""")
 def price_prefilter_topk(spark, sf_dir):

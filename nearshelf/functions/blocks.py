@@ -142,3 +142,24 @@ def best_of_stream(batches, q: QueryBlock, k: int, dim: int, digits, payload, co
     if parts:  # a single part holds at most k rows per query already
         merged = parts[0] if len(parts) == 1 else keep_best(pa.concat_tables(parts), q, k)
         yield from with_query_keys(merged, q, columns).to_batches(max_chunksize=OUT_ROWS)
+
+
+def best_of_cells(batches, q: QueryBlock, asked: np.ndarray, k: int, dim: int, digits, columns):
+    """As best_of_stream, for rows with a column `cell`: asked[i, cell] tells whether query i wants that cell."""
+    best, waiting, n_waiting = [], [], 0
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        cells = table.column("cell").to_numpy()
+        for cell in np.unique(cells):
+            who = np.flatnonzero(asked[:, cell])
+            rows = table.filter(pa.array(cells == cell))
+            part = QueryBlock(q.keys, q.vectors[who], q.price_min[who], q.price_max[who], q.floor[who], q.price_min_off, q.price_max_off)
+            hits = score_block(part, rows, k, dim, digits, [])
+            hits = hits.set_column(hits.column_names.index("q_no"), "q_no", pa.array(who[hits.column("q_no").to_numpy()], pa.int64()))
+            waiting.append(hits)
+            n_waiting += hits.num_rows
+            if n_waiting > k * len(q.vectors):
+                best = [keep_best(pa.concat_tables(best + waiting), q, k)]
+                waiting, n_waiting = [], 0
+    if best or waiting:
+        yield from with_query_keys(keep_best(pa.concat_tables(best + waiting), q, k), q, columns).to_batches(max_chunksize=OUT_ROWS)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from nearshelf.functions.vectors import cosine
 from nearshelf.operators import search as S
+from nearshelf.operators.cells import cosine_topk_cells, write_cells
 
 DIM = 8
 
@@ -43,7 +44,8 @@ def brute_force(vectors, prices, q, k):
 
 
 @pytest.mark.parametrize("options", [dict(), dict(method="blocks"), dict(method="blocks", block_bytes=40 * 8 * DIM),
-                                     dict(method="blocks", block_bytes=5 * 8 * DIM), dict(broadcast_bytes=1)])
+                                     dict(method="blocks", block_bytes=5 * 8 * DIM), dict(broadcast_bytes=4_000),
+                                     dict(method="chunks"), dict(method="chunks", broadcast_bytes=6_000, seed_share=8)])
 def test_equals_brute_force(data, options):
     vectors, prices, q, catalog, queries = data
     got = S.cosine_topk(queries, catalog, 9, dim=DIM, digits=6, payload=("name",), **options).collect()
@@ -132,3 +134,62 @@ def test_nan_bounds_are_off_whatever_the_order(spark, method):
         q = spark.createDataFrame(rows, "query_id INT, vector ARRAY<FLOAT>, price_min DOUBLE, price_max DOUBLE").coalesce(1)
         got = S.cosine_topk(q, catalog, 20, dim=2, method=method).groupBy("query_id").count().collect()
         assert {r["query_id"]: r["count"] for r in got} == {1: 5, 2: 10, 3: 4}
+
+
+@pytest.fixture(scope="module")
+def stored(data, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("cells") / "t")
+    write_cells(data[3], path, dim=DIM, cells=12)
+    return path
+
+
+@pytest.mark.parametrize("options", [dict(), dict(broadcast_bytes=5_000)])
+def test_cells_equal_brute_force(data, stored, options):
+    vectors, prices, q, catalog, queries = data
+    got = cosine_topk_cells(queries, stored, catalog.schema, 9, dim=DIM, digits=6, payload=("name",), **options).collect()
+    assert {(r.query_id, r.variant_no, r.rank, r.id) for r in got} == brute_force(vectors, prices, q, 9)
+    assert all(r.name == "n" + str(int(r.id[1:])) for r in got)
+
+
+def test_cells_hold_every_usable_row_within_their_radius(spark, data, stored):
+    cells = {r.cell: r for r in spark.read.parquet(stored + "/cells").collect()}
+    rows = spark.read.parquet(stored + "/rows").collect()
+    assert len(rows) == 699 and 2 <= len(cells) <= 12
+    for r in rows:
+        v, c = np.array(r.embedding), np.array(cells[r.cell].centre)
+        assert np.arccos(np.clip(v @ c / np.linalg.norm(v), -1, 1)) <= cells[r.cell].radius + 1e-9
+    assert sum(c.n for c in cells.values()) == 699
+
+
+def test_distant_cells_are_not_read(spark, tmp_path):
+    """Two tight groups far from each other: a search near one succeeds though the other's files are unreadable."""
+    rng = np.random.default_rng(5)
+    near = [[1.0] + list(x) for x in rng.normal(scale=0.01, size=(60, DIM - 1))]
+    far = [[-1.0] + list(x) for x in rng.normal(scale=0.01, size=(60, DIM - 1))]
+    rows = [(f"i{k}", [float(x) for x in v], 1.0) for k, v in enumerate(near + far)]
+    catalog = spark.createDataFrame(rows, "id STRING, embedding ARRAY<FLOAT>, price DOUBLE")
+    path = str(tmp_path / "t")
+    write_cells(catalog, path, dim=DIM, cells=2)
+    cell = spark.read.parquet(path + "/rows").where("id = 'i100'").first().cell
+    for name in (tmp_path / "t" / "rows" / f"cell={cell}").glob("part-*"):
+        name.write_bytes(b"no parquet")
+    queries = spark.createDataFrame([(1, [1.0] + [0.0] * (DIM - 1))], "query_id INT, vector ARRAY<FLOAT>")
+    got = cosine_topk_cells(queries, path, catalog.schema, 5, dim=DIM).collect()
+    assert len(got) == 5 and all(int(r.id[1:]) < 60 for r in got)
+    away = queries.select("query_id", F.transform("vector", lambda x: -x).alias("vector"))
+    with pytest.raises(Exception, match="parquet|Parquet"):
+        cosine_topk_cells(away, path, catalog.schema, 5, dim=DIM).collect()
+
+
+def test_cells_of_an_empty_table(spark, data, tmp_path):
+    *_, catalog, queries = data
+    path = str(tmp_path / "t")
+    write_cells(catalog.where("id IS NULL"), path, dim=DIM)
+    assert cosine_topk_cells(queries, path, catalog.schema, 5, dim=DIM).count() == 0
+
+
+def test_chunks_move_no_vectors(data):
+    *_, catalog, queries = data
+    plan = S.cosine_topk(queries, catalog, 3, dim=DIM, method="chunks", payload=("name",))._jdf.queryExecution().optimizedPlan().toString()
+    joined = [line for line in plan.split("\n") if "Project" in line or "Relation" in line or "Filter" in line]
+    assert "vector" not in plan and not any("embedding" in line for line in joined if "Project" in line)
