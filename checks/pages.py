@@ -13,7 +13,7 @@ from nearshelf import fixed_values as V
 from nearshelf.operators import extract as E, profile as R
 from nearshelf.plans import ingest as I
 from nearshelf.session import work_folder
-from nearshelf.sources import manifest as M, names as N, pages as PG, records as RC, vector_table as VT
+from nearshelf.sources import manifest as M, names as N, pages as PG, records as RC, vector_log as VL, vector_table as VT
 from nearshelf.streaming import ingest as SI
 
 SHAPE = "item_no % 12"
@@ -258,6 +258,33 @@ def upsert_latest(spark, sf_dir):
     return VT.upsert_latest(X.spark_sql(spark, sf_dir, EXISTING), X.spark_sql(spark, sf_dir, CHANGES))
 
 
+UPSERTED_SQL = f"""SELECT id, batch_no, price FROM (
+    SELECT *, row_number() OVER (PARTITION BY id ORDER BY batch_no DESC) AS place
+    FROM (SELECT * FROM ({EXISTING}) UNION ALL SELECT * FROM ({CHANGES}))) WHERE place = 1"""
+
+
+def _price_log(spark, sf_dir):
+    """The table, then the changes in four batches of which one comes twice, the latest first."""
+    path = work_folder(spark, "log")
+    VL.append_batch(X.spark_sql(spark, sf_dir, EXISTING), path, batch_id="all")
+    changes = X.spark_sql(spark, sf_dir, CHANGES)
+    for n in (3, 0, 3, 1, 2):
+        VL.append_batch(changes.where(F.col("batch_no") % 4 == n), path, batch_id=f"changes-{n}")
+    return path
+
+
+@check("upsert_log", UPSERTED_SQL)
+def upsert_log(spark, sf_dir):
+    return VL.read_current(spark, _price_log(spark, sf_dir))
+
+
+@check("log_statistics", f"SELECT NULL::INTEGER AS dimension, count(*) AS total_vector_count FROM ({UPSERTED_SQL})")
+def log_statistics(spark, sf_dir):
+    path = _price_log(spark, sf_dir)
+    VL.compact(spark, path)
+    return VL.log_statistics(spark, path)
+
+
 @check("table_statistics", f"WITH {CAT} SELECT max(len(embedding))::INTEGER AS dimension, count(*) AS total_vector_count FROM cat")
 def table_statistics(spark, sf_dir):
     return VT.table_statistics(X.catalog(spark, sf_dir))

@@ -14,6 +14,7 @@ from nearshelf.operators.query_text import query_text
 from nearshelf.operators.text_vectors import embed_texts, fit_text_vectors
 from nearshelf.plans import ingest as I, recommend as P
 from nearshelf.session import work_folder
+from nearshelf.sources.vector_log import read_current
 from nearshelf.sources import manifest as M
 from nearshelf.streaming import ingest as SI
 
@@ -153,7 +154,7 @@ def _vectors(table):
 def _ingest(spark, sf_dir, base, n, manifest):
     return I.run_ingest(
         X.pages(spark, sf_dir), M.read_manifest(spark, f"{base}/{manifest}"), id_prefix="shop:", source="shop", stage_path=f"{base}/stage{n}",
-        records_path=f"{base}/records", manifest_path=f"{base}/{manifest}", embed=_name_model(spark, sf_dir), table_path=f"{base}/table", batch_no=n, buckets=8)
+        records_path=f"{base}/records", manifest_path=f"{base}/{manifest}", embed=_name_model(spark, sf_dir), table_path=f"{base}/table", batch_no=n)
 
 
 @check("ingest_vectors", VECTORS_SQL)
@@ -161,7 +162,7 @@ def ingest_vectors(spark, sf_dir):
     """Pages to the vector table in one run."""
     base = work_folder(spark, "ingest")
     _ingest(spark, sf_dir, base, 1, "manifest")
-    return _vectors(spark.read.parquet(base + "/table"))
+    return _vectors(read_current(spark, base + "/table"))
 
 
 @check("ingest_replay", VECTORS_SQL)
@@ -171,7 +172,7 @@ def ingest_replay(spark, sf_dir):
     _ingest(spark, sf_dir, base, 1, "lost")
     _ingest(spark, sf_dir, base, 1, "manifest")
     _ingest(spark, sf_dir, base, 2, "manifest")
-    return _vectors(spark.read.parquet(base + "/table").where("batch_no = 1"))
+    return _vectors(read_current(spark, base + "/table").where("batch_no = 1"))
 
 
 @check("stream_vectors", VECTORS_SQL)

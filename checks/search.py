@@ -68,7 +68,9 @@ def cosine_topk_blocks(spark, sf_dir):
     SELECT query_id, variant_no, rank, id, score, name FROM matches""")
 def cosine_topk_chunks(spark, sf_dir):
     """64 chunks of queries or more, over the catalog in place."""
-    asked, cat = X.requests(spark, sf_dir), _catalog(spark, sf_dir)
+    folder, asked = work_folder(spark, "catalog"), X.requests(spark, sf_dir)
+    _catalog(spark, sf_dir).select("id", "embedding", "price", "name").write.parquet(folder)
+    cat = spark.read.parquet(folder)
     return S.cosine_topk(asked, cat, 20, dim=DIM, digits=6, payload=("name",), method="chunks", seed_share=4,
                          broadcast_bytes=max(1, asked.count() // 64) * (8 * DIM + 16 * 20))
 

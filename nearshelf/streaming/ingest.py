@@ -8,7 +8,7 @@ from nearshelf import fixed_values as V
 from nearshelf.operators.extract import classify_pages, page_key
 from nearshelf.plans.ingest import make_records, manifest_rows
 from nearshelf.sources.pages import decode_text
-from nearshelf.sources.vector_table import latest_by_key
+from nearshelf.sources.vector_log import append_batch, read_current
 
 PAGE_FILE = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
 
@@ -25,9 +25,9 @@ def stream_pages(spark: SparkSession, folder: str, glob: str = V.PAGE_FILE_GLOB,
 def stream_ingest(pages: DataFrame, *, out: str, checkpoint: str, id_prefix: str, source: str,
                   embed=None) -> StreamingQuery:
     """Start the stream over pages: path, html. Each micro-batch replaces its
-    own folders out/{pages,records}/batch_no=<n>, so a batch repeated after a
-    failure leaves the same files; readers take the latest row per id. `embed`
-    adds vectors to a batch of records."""
+    own folder out/pages/batch_no=<n>, so a batch repeated after a failure leaves the
+    same files, and goes to the table out/table under the stream's id and its number, by
+    which a repeated batch is recognised. `embed` adds vectors to a batch of records."""
 
     def write(batch: DataFrame, batch_no: int) -> None:
         stage = f"{out}/pages/batch_no={batch_no}"
@@ -38,7 +38,9 @@ def stream_ingest(pages: DataFrame, *, out: str, checkpoint: str, id_prefix: str
         one = classified.where("status = 'ok'").groupBy("sku").agg(F.max("path").alias("path"))
         records = make_records(classified.join(one, ["sku", "path"], "left_semi"), id_prefix, source)
         records = embed(records) if embed else records
-        records.write.mode("overwrite").parquet(f"{out}/records/batch_no={batch_no}")
+        # The id is the checkpoint's: a stream that starts anew without one is another stream.
+        stream = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        append_batch(records.withColumn("batch_no", F.lit(batch_no).cast("bigint")), f"{out}/table", batch_id=f"{stream}:{batch_no}")
 
     return (
         pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
@@ -48,7 +50,7 @@ def stream_ingest(pages: DataFrame, *, out: str, checkpoint: str, id_prefix: str
 
 def current_records(spark: SparkSession, out: str) -> DataFrame:
     """Latest record per id over all batches."""
-    return latest_by_key(spark.read.parquet(f"{out}/records"), "id", "batch_no")
+    return read_current(spark, f"{out}/table")
 
 
 def stream_manifest(spark: SparkSession, out: str) -> DataFrame:
