@@ -15,8 +15,13 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nearshelf.functions.text import let
 from nearshelf.llm.tables import small, written
 
+SPAN = "struct<start:bigint,order:int,end:bigint,kind:string,ok:boolean>"
+#: Matches of one text that are gathered at a time.
+TOGETHER = 200
+
 
 class Rule(NamedTuple):
     """kind, expression (Java and Python syntax in common), length that a group must have."""
@@ -99,20 +104,36 @@ def candidates(docs: DataFrame, rules: Sequence[Rule], *, text: str = "text", do
 
 def _spans(text: Column, rule: Rule, order: int) -> Column:
     """Spans of the matches that are long enough, as (start, order, end, kind), by code points."""
-    pattern = F.lit(rule.pattern)
-    rest, found = F.split(text, rule.pattern), F.regexp_extract_all(text, pattern, F.lit(0))
-    judged = F.regexp_extract_all(text, pattern, F.lit(rule.group))
-    kind = "struct<start:bigint,order:int,end:bigint,kind:string,ok:boolean>"
-    walked = F.aggregate(
-        F.sequence(F.lit(0), F.size(found) - 1),
-        F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{kind}>").alias("spans")),
-        lambda a, i: F.struct(
-            (a["at"] + F.length(F.get(rest, i)) + F.length(F.get(found, i))).cast("bigint").alias("at"),
-            F.array_append(a["spans"], F.struct(
-                (a["at"] + F.length(F.get(rest, i))).cast("bigint").alias("start"), F.lit(order).alias("order"),
-                (a["at"] + F.length(F.get(rest, i)) + F.length(F.get(found, i))).cast("bigint").alias("end"), F.lit(rule.kind).alias("kind"),
-                (F.length(F.get(judged, i)) >= rule.least).alias("ok"))).cast(f"array<{kind}>").alias("spans")))
-    return F.when(F.size(found) > 0, F.filter(walked["spans"], lambda s: s["ok"])).otherwise(F.array().cast(f"array<{kind}>"))
+    pattern, kind = F.lit(rule.pattern), f"array<{SPAN}>"
+    none = F.array().cast(kind)
+
+    def walk(rest: Column, found: Column, judged: Column) -> Column:
+        def one(a: Column, i: Column) -> Column:
+            start = a["at"] + F.coalesce(F.get(rest, i), F.lit(0))
+            end = start + F.coalesce(F.get(found, i), F.lit(0))
+            span = F.struct(start.alias("start"), F.lit(order).alias("order"), end.alias("end"), F.lit(rule.kind).alias("kind"),
+                            (F.get(judged, i) >= rule.least).alias("ok"))
+            return F.struct(end.alias("at"), F.array_append(a["spans"], span).cast(kind).alias("spans"))
+
+        def some(a: Column, k: Column) -> Column:
+            here = F.sequence(k * TOGETHER, F.least(k * TOGETHER + TOGETHER, F.size(found)) - 1)
+            part = F.aggregate(here, F.struct(a["at"].alias("at"), none.alias("spans")), one)
+            return let(part, lambda p: F.struct(p["at"].alias("at"), F.concat(a["spans"], F.filter(p["spans"], lambda s: s["ok"])).cast(kind).alias("spans")))
+
+        # An array grows by copies, so matches are gathered some at a time.
+        groups = F.sequence(F.lit(0), ((F.size(found) - 1) / TOGETHER).cast("int"))
+        start = F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("spans"))
+        return F.aggregate(groups, start, lambda a, k: F.coalesce(some(a, k), start))["spans"]
+
+    def lengths(parts: Column) -> Column:
+        return F.transform(parts, lambda x: F.length(x).cast("bigint"))
+
+    # Each of them is made once per text, not once per match.
+    found = F.regexp_extract_all(text, pattern, F.lit(0))
+    walked = let(lengths(found), lambda f: F.when(F.size(f) == 0, none).otherwise(
+        let(lengths(F.split(text, rule.pattern)), lambda r: let(
+            lengths(F.regexp_extract_all(text, pattern, F.lit(rule.group))), lambda j: walk(r, f, j)))))
+    return F.coalesce(walked, none)
 
 
 def scan_secrets(docs: DataFrame, *, base: Sequence[Rule] = BASE, more: Sequence[Rule] = MORE,
@@ -122,14 +143,15 @@ def scan_secrets(docs: DataFrame, *, base: Sequence[Rule] = BASE, more: Sequence
     Matches of one kind don't overlap, the leftmost counts; those whose group is too
     short are dropped. base_spans has the base kinds, spans all kinds. One row comes
     out per row that goes in. Null text counts as empty; rows with one doc_id, or with
-    none, share their candidate rules and are still judged each on its own text.
+    none, share their candidate rules and are still judged each on its own text. The work on
+    a very long text grows with its length and matches, not with their product.
     """
     rules = [*base, *more]
     indexed = [r for r in rules if trigram_query(r.pattern) is not None]
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     left = written(candidates(docs, indexed), "secret-candidates").withColumnRenamed("doc_id", "_id")
     df = docs.join(small(left), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    none = F.array().cast("array<struct<start:bigint,order:int,end:bigint,kind:string,ok:boolean>>")
+    none = F.array().cast(f"array<{SPAN}>")
     for n, r in enumerate(rules):
         spans = _spans(F.col("text"), r, n)
         if r in indexed:
