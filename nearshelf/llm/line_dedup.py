@@ -13,6 +13,7 @@ and on which side of the middle the edit can be.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nearshelf.functions.text import let
 from nearshelf.llm.tables import small, written
 from nearshelf.llm.text import words
 
@@ -108,11 +109,14 @@ def dedup_lines(docs: DataFrame, *, min_words: int = 5, text: str = "text", doc_
     df = df.withColumn("_parts", F.split(F.col(text).cast("string"), "\n"))
     df = df.withColumn("_gone", F.coalesce(F.transform("_drop", lambda s: s["line_no"]), F.array().cast("array<int>")))
 
+    # Numbers of the lines that stay, told by hash: a document may have very many lines, and very many that go.
+    left = F.array_except(F.sequence(F.lit(0), F.size("_parts") - 1), F.col("_gone"))
+
     def number(kind: str) -> Column:
         return F.coalesce(F.size(F.filter("_drop", lambda s: s["kind"] == kind)), F.lit(0)).cast("bigint")
 
     return df.select(
         *[c for c in docs.columns if c != text],
         F.when(F.size("_gone") == 0, F.col(text)).otherwise(
-            F.array_join(F.filter("_parts", lambda x, i: ~F.array_contains("_gone", i)), "\n")).alias(text),
+            F.array_join(let(F.col("_parts"), lambda p: F.transform(left, lambda i: F.get(p, i))), "\n")).alias(text),
         F.coalesce(F.size("_parts"), F.lit(0)).cast("bigint").alias("n_lines"), number("copy").alias("n_copies"), number("near").alias("n_near"))

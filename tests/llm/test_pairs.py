@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import re
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -153,6 +154,17 @@ def test_line_dedup_against_all_pairs(spark):
     assert {((r["doc_id"], r["line_no"]), r["kind"]) for r in got} == plain_line_dedup(rows, 5) and len(got) == len(set(got))
 
 
+def test_line_dedup_of_a_document_with_very_many_lines(spark):
+    lines = [f"line {k} of a long document" if k % 2 else "the same line again and again" for k in range(200_000)]
+    docs = spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")
+    began = time.time()
+    got = dedup_lines(docs).first()
+    assert time.time() - began < 90
+    assert (got["n_lines"], got["n_copies"]) == (200_000, 99_999)
+    # Lines that differ in one word are near copies of the first one, too.
+    assert got["text"].split("\n") == lines[:2]
+
+
 def test_line_dedup_edges(spark):
     once = [r for r in edge_rows() if r[0] not in (7, 11)]
     docs = spark.createDataFrame(once, edge_docs(spark).schema)
