@@ -46,7 +46,7 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(OP2)
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(documents(spark, sf_dir), keep=["doc_id"]).select(
+    return quality_rules(documents(spark, sf_dir), keep=["doc_id"], max_common_share=0.8).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "js_chars", "js_common", "kept")
 
 

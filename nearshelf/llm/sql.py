@@ -7,18 +7,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAPS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 
-def _quality(min_words: int, max_repeat: int, compare_from: int, max_chars: float, max_common: float) -> str:
+def _quality(min_words: int, max_repeat: int, compare_from: int, max_chars: float, max_common: float, max_share: float) -> str:
     lists = ", ".join(f"('{k}', [{', '.join(repr(w) for w in v)}])" for k, v in COMMON_WORDS.items())
     width = 1 + max(map(len, COMMON_WORDS.values()))
     classes = ["[a-z]", r"[\x20\x09-\x0D]", "[A-Z]", r"[^\x00-\x7F]", "[0-9]", "[.,;:!?''\"()-]"]
     counts = ", ".join(f"length(text) - length(regexp_replace(text, '{c}', '', 'g'))" for c in classes)
     rest = "[" + "|".join(["a-z", r"\x20\x09-\x0D", "A-Z", "0-9", ".,;:!?''\"()-"]).replace("|", "") + r"]|[^\x00-\x7F]"
 
-    def distance(p: str, q: str) -> str:
+    def distance(p: str, q: str, digits: int = 6) -> str:
         half = ("list_sum(list_transform(range(1, len({p}) + 1), lambda i: CASE WHEN {p}[i] > 0 THEN {p}[i] / list_sum({p}) * "
                 "log2({p}[i] / list_sum({p}) / (({p}[i] / list_sum({p}) + coalesce({q}[i], 0) / list_sum({q})) / 2)) ELSE 0 END))")
         both = f"{half.format(p=p, q=q)} + {half.format(p=f'list_resize({q}, len({p}), 0)', q=p)}"
-        return f"CASE WHEN list_sum({p}) > 0 AND list_sum({q}) > 0 THEN round(sqrt(greatest(0, ({both}) / 2)), 6) ELSE 0 END"
+        return f"CASE WHEN list_sum({p}) > 0 AND list_sum({q}) > 0 THEN round(sqrt(greatest(0, ({both}) / 2)), {digits}) ELSE 0 END"
 
     return f"""
 WITH common(lang, list) AS (VALUES {lists}),
@@ -44,18 +44,19 @@ m AS (
   SELECT d.doc_id, len(w) AS n_words, len(list_aggregate(w, 'string_agg', '')) AS word_chars,
     length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
     len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
-    {distance("chars", "ref_chars")} AS js_chars, {distance("common", "list_resize(ref_common, len(common), 0)")} AS js_common
+    {distance("chars", "ref_chars")} AS js_chars, {distance("common", "list_resize(ref_common, len(common), 0)")} AS js_common,
+    {distance("bare", "list_resize(ref_common, len(bare), 0)", 15)} AS js_bare
   FROM (SELECT *, list_filter(string_split(text, chr(10)), lambda x: length(trim(x, {GAPS})) > 0) AS lines FROM d) d
-  JOIN f USING (rid) JOIN refs ON refs.lang = d.lang LEFT JOIN repeated r ON r.rid = d.rid)
+  JOIN (SELECT *, list_transform(range(1, len(common) + 1), lambda i: CASE WHEN i = len(common) THEN 1.0::DOUBLE ELSE 0.0 END) AS bare FROM f) f USING (rid) JOIN refs ON refs.lang = d.lang LEFT JOIN repeated r ON r.rid = d.rid)
 SELECT doc_id, n_words::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
   n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
   n_words < {min_words} OR 100 * n_repeat_words > {max_repeat} * n_words AS base_failed, js_chars, js_common,
   NOT (n_words < {min_words} OR 100 * n_repeat_words > {max_repeat} * n_words)
-    AND NOT (n_words >= {compare_from} AND (js_chars > {max_chars} OR js_common > {max_common})) AS kept
+    AND NOT (n_words >= {compare_from} AND (js_chars > {max_chars} OR js_common > {max_common} OR (js_bare > 0 AND js_common > {max_share} * js_bare))) AS kept
 FROM m"""
 
 
-OP2 = _quality(50, 50, 80, 0.35, 0.45)
+OP2 = _quality(50, 50, 80, 0.35, 0.45, 0.8)
 
 
 def _secrets() -> str:

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -90,6 +91,31 @@ def test_secrets_against_plain_search(spark):
     assert scan_secrets(empty_docs(spark)).count() == 0
 
 
+def test_secrets_of_a_long_text_with_many_matches(spark):
+    rng = random.Random(6)
+    text = " ".join(f"{rng.getrandbits(128):032x}" if k % 2 else prose(k, 3) for k in range(40_000))
+    docs = spark.createDataFrame([(1, text), (2, text[:2_000])], "doc_id long, text string")
+    began = time.time()
+    got = {r["doc_id"]: r["s"] for r in scan_secrets(docs).select("doc_id", spans_text(F.col("spans")).alias("s")).collect()}
+    assert time.time() - began < 60
+    assert got == {1: plain_spans(text, [*BASE, *MORE]), 2: plain_spans(text[:2_000], [*BASE, *MORE])} and got[1].count("hex") > 19_000
+
+
+def test_quality_query_rejects_texts_without_common_words(spark, tmp_path):
+    from nearshelf.llm.queries import QUERIES
+
+    rng = random.Random(4)
+
+    def text(lang, share, n=120):
+        return " ".join(rng.choice(COMMON_WORDS[lang]) if rng.random() < share else w for w in prose(rng.random(), n).split())
+
+    rows = [(k, text(lang, 0.27), lang) for k, lang in enumerate(["en", "de"] * 60)]
+    rows += [(1000, text("en", 0.0), "en"), (1001, text("de", 0.27), "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["kept"] for r in QUERIES["op2_quality_rules"](spark, str(tmp_path)).collect()}
+    assert all(got[k] for k in range(120)) and not got[1000] and not got[1001]
+
+
 def test_trigram_queries():
     assert trigram_query("AKIA[A-Z0-9]+") == [frozenset({"aki", "kia"})]
     assert trigram_query("[0-9a-f]{32,}") is None and trigram_query("(abc|x)y*") is None
@@ -174,7 +200,7 @@ def test_languages(spark, sf_dir):
 
 
 def test_language_edges(spark):
-    rows = {r["lang_pred"] for r in identify_language(edge_docs(spark), model=PIECES).where("text IS NULL" if False else "doc_id IN (1, 2, 3)").collect()}
+    rows = {r["lang_pred"] for r in identify_language(edge_docs(spark), model=PIECES).where("doc_id IN (1, 2, 3)").collect()}
     assert rows == {"und"}
     got = identify_language(edge_docs(spark), model=PIECES).collect()
     assert len(got) == len(edge_rows()) and all(r["held_out"] == (r["doc_id"] is None or zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
