@@ -11,6 +11,7 @@ from checks.registry import check
 from checks.sql_parts import CAT, producer_rule, squeeze, strip, year
 from nearshelf import fixed_values as V
 from nearshelf.operators import extract as E, profile as R
+from nearshelf.operators.ranges import value_at
 from nearshelf.plans import ingest as I
 from nearshelf.session import work_folder
 from nearshelf.sources import manifest as M, names as N, pages as PG, records as RC, vector_log as VL, vector_table as VT
@@ -152,6 +153,14 @@ def first_pages(spark, sf_dir):
     return PG.first_pages(_pages(spark, sf_dir), 300).select("path")
 
 
+@check("first_pages_half", f"SELECT path FROM ({ALL_PATHS}) ORDER BY path LIMIT (SELECT count(*) // 2 FROM ({ALL_PATHS}))")
+def first_pages_half(spark, sf_dir):
+    """Half of all paths, found by ranges at every size."""
+    pages = _pages(spark, sf_dir)
+    last = value_at(pages, "path", pages.count() // 2)
+    return pages.where(F.col("path") <= last).select("path")
+
+
 # --- ingest -----------------------------------------------------------------
 
 DONE = f"SELECT sha1('/pages/' || cast(item_no AS string) || '.html') AS key, 'ok' AS status, cast(NULL AS string) AS sku FROM ({X.CATALOG}) c WHERE label = 3"

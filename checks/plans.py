@@ -1,6 +1,6 @@
 """Plans that begin with raw text or raw pages."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from checks import fixture as X
 from checks.fixture import duck
@@ -15,7 +15,7 @@ from nearshelf.operators.text_vectors import embed_texts, fit_text_vectors
 from nearshelf.plans import ingest as I, recommend as P
 from nearshelf.session import work_folder
 from nearshelf.sources.vector_log import read_current
-from nearshelf.sources import manifest as M
+from nearshelf.sources import manifest as M, records as RC
 from nearshelf.streaming import ingest as SI
 
 TEXT_DIM = 256
@@ -175,6 +175,24 @@ def ingest_replay(spark, sf_dir):
     return _vectors(read_current(spark, base + "/table").where("batch_no = 1"))
 
 
+LINES_SQL = f"""WITH {CAT}, {TRUTH}, {PROFILE_CTE} SELECT sku, name, category, price, source_url, left(profile_text, 1000) AS embedding_text
+    FROM profiles WHERE {WANTED}"""
+
+
+@check("ingest_replay_lines", LINES_SQL)
+def ingest_replay_lines(spark, sf_dir):
+    """JSON lines of a run that died before its manifest, of its repetition, and of a third start that finds nothing."""
+    base = work_folder(spark, "ingest")
+    run = lambda n, manifest: I.run_ingest(
+        X.pages(spark, sf_dir), M.read_manifest(spark, f"{base}/{manifest}"), id_prefix="shop:", source="shop", stage_path=f"{base}/stage{n}",
+        records_path=f"{base}/records", manifest_path=f"{base}/{manifest}", by_run=True)
+    run(1, "lost")
+    run(2, "manifest")
+    run(3, "manifest")
+    schema = "sku STRING, name STRING, category STRING, price DOUBLE, source_url STRING, embedding_text STRING"
+    return RC.read_runs(spark, base + "/records", T.StructType.fromDDL(schema), M.read_manifest(spark, base + "/manifest"))
+
+
 @check("stream_vectors", VECTORS_SQL)
 def stream_vectors(spark, sf_dir):
     """Pages to vectors as a stream."""

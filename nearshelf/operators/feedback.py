@@ -5,6 +5,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from nearshelf import fixed_values as V
 from nearshelf.functions.text import brand_key, strip
 from nearshelf.functions.variant import is_object, parse_twice
+from nearshelf.operators.ranges import in_ranges, with_places
+from nearshelf.session import work_folder
 
 
 def dislikes(events: DataFrame, catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -83,17 +85,20 @@ def _pieces(text: Column, n: int) -> Column:
 
 
 def autocomplete(names: DataFrame, typed: DataFrame, limit: int | None = V.SUGGESTIONS,
-                 salts: int = 16) -> DataFrame:
+                 salts: int | None = None) -> DataFrame:
     """suggest_names for a table of typed texts (query_id, typed): query_id,
     place, name. names: name, distinct.
 
     Substring search becomes an equi-join: a text of three or more letters can
     only occur in names that share each of its three-letter pieces, so it is
     joined on its rarest piece and then verified; pieces nobody asks for are left
-    out of the index. Names are spread over `salts`
-    slices, because one piece may occur in a third of all names, and every
-    slice keeps only its first `limit` rows per text.
+    out of the index. Names are spread over `salts` ranges of their order (as many as a
+    shuffle has partitions, if not told), because one piece may occur in a third
+    of all names. A text's hits are numbered range by range, so that a text that
+    all names contain does not end in one task either.
     """
+    spark = names.sparkSession
+    salts = salts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.lower(strip("typed")) if limit else F.lower("typed")
     own = F.when(F.length("text") <= GRAM, F.array("text")).otherwise(_pieces(F.col("text"), GRAM))
     asked = typed.select("query_id", text.alias("text")).select(
@@ -102,28 +107,21 @@ def autocomplete(names: DataFrame, typed: DataFrame, limit: int | None = V.SUGGE
     pieces = F.array_distinct(F.concat(
         F.array(F.lit("")), *[_pieces(F.lower("name"), n) for n in range(1, GRAM + 1)]
     ))
-    index = (
-        names.select("name", F.pmod(F.xxhash64("name"), F.lit(salts)).alias("slice"), F.explode(pieces).alias("piece"))
-        .join(asked.select("piece").distinct(), "piece", "left_semi")
-    )
-    frequency = index.groupBy("piece").agg(F.count("*").alias("n"))
+    folder = work_folder(spark, "pieces")
+    in_ranges(names.select("name"), "name", salts).select("name", "slice", F.explode(pieces).alias("piece")).join(
+        asked.select("piece").distinct(), "piece", "left_semi"
+    ).write.parquet(folder)
+    index = spark.read.schema("piece STRING, name STRING, slice BIGINT").parquet(folder)
+    frequency = index.groupBy("piece", "slice").agg(F.count("*").alias("n"))
+    held = frequency.groupBy("piece").agg(F.sum("n").alias("n"), F.collect_list("slice").alias("slices"))
     rarest = (
-        asked.join(frequency, "piece")
+        asked.join(held, "piece")
         .groupBy("query_id", "text")
-        .agg(F.min_by("piece", F.struct("n", "piece")).alias("piece"))
-        .withColumn("slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+        .agg(F.min_by(F.struct("piece", "slices"), F.struct("n", "piece")).alias("r"))
+        .select("query_id", "text", "r.piece", F.explode("r.slices").alias("slice"))
     )
     hits = index.join(rarest, ["piece", "slice"]).where(F.lower("name").contains(F.col("text")))
-    if limit:
-        in_slice = W.partitionBy("query_id", "slice").orderBy("name")
-        hits = hits.withColumn("place", F.row_number().over(in_slice)).where(
-            (F.col("place") <= limit) | (F.col("text") == "")
-        )
-    place = F.row_number().over(W.partitionBy("query_id").orderBy("name"))
-    ranked = hits.withColumn("place", place)
-    if limit:
-        ranked = ranked.where((F.col("place") <= limit) | (F.col("text") == ""))
-    return ranked.select("query_id", "place", "name")
+    return with_places(hits, "query_id", "name", limit=limit, unlimited="text = ''").select("query_id", "place", "name")
 
 
 def review_rows(items: DataFrame, first: int = 3) -> DataFrame:

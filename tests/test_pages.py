@@ -3,7 +3,7 @@
 import json
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from nearshelf.functions.text import item_key
 from nearshelf.operators import extract as E, profile as R
@@ -153,6 +153,40 @@ def test_ingest_resumes(spark, folder, tmp_path):
     assert skus == {("ok", None), ("skip_not_wine", "b"), ("skip_parse", None)}
 
 
+def test_lines_of_a_repeated_run_are_read_once(spark, folder, tmp_path):
+    manifest, records = str(tmp_path / "manifest"), str(tmp_path / "records")
+
+    def run(n, manifest_path=manifest, limit=0):
+        return {r.status: r.pages for r in I.run_ingest(
+            PG.read_pages(spark, str(folder)), M.read_manifest(spark, manifest), id_prefix="shop:", source="shop", stage_path=str(tmp_path / f"stage{n}"),
+            records_path=records, manifest_path=manifest_path, limit=limit, by_run=True).collect()}
+
+    def lines():
+        return sorted(r.sku for r in RC.read_runs(spark, records, T.StructType.fromDDL("sku STRING, name STRING"), M.read_manifest(spark, manifest)).collect())
+
+    assert run(1, manifest_path=str(tmp_path / "lost")) == {"ok": 1, "skip_not_wine": 1, "skip_parse": 1}
+    assert lines() == []
+    assert run(2, limit=1) == {"ok": 1}
+    assert lines() == ["a"]
+    (folder / "99.html").write_text(page(product(sku="z")))
+    assert run(3, manifest_path=str(tmp_path / "lost")) == {"ok": 1, "skip_not_wine": 1, "skip_parse": 1}
+    assert lines() == ["a"]
+    assert run(4) == {"ok": 1, "skip_not_wine": 1, "skip_parse": 1}
+    assert run(5) == {}
+    assert lines() == ["a", "z"]
+
+
+def test_many_first_pages(spark, monkeypatch):
+    pages = spark.createDataFrame([(f"/p/{i % 40:02d}", str(i)) for i in range(60)] + [(None, "x")], "path STRING, html STRING").repartition(7)
+    found = lambda: {n: sorted(r.html for r in PG.first_pages(pages, n).collect()) for n in (1, 20, 41, 59, 60, 100)}
+    sorted_whole = found()
+    monkeypatch.setattr(PG, "SORTED_PATHS", 0)
+    assert found() == sorted_whole
+    assert PG.first_pages(pages, 20).count() == 20 and PG.first_pages(pages, 1).count() == 2
+    assert PG.first_pages(pages, 60).count() == 60 and PG.first_pages(pages, 100).count() == 60
+    assert PG.first_pages(pages.limit(0), 5).count() == 0
+
+
 def test_long_manifest_takes_the_other_way(spark, monkeypatch):
     pages = spark.createDataFrame([(f"/p/{i}", "") for i in range(20)], "path STRING, html STRING")
     done = pages.where("path < '/p/15'").select(E.page_key(F.col("path")).alias("key"), F.lit("ok").alias("status"), F.lit(None).cast("string").alias("sku"))
