@@ -6,9 +6,9 @@ from checks import fixture as X
 from checks.fixture import duck
 from checks.registry import ORACLES, check
 from checks.pages import PROFILE_CTE, TRUTH, WANTED
-from checks.search import GUESS, K
-from checks.sql_parts import CAT, TYPED, VEC, scored, stated_brand, strip
-from checks.texts import LEGACY, SLIDERS, WORDS, _query_text
+from checks.search import DEPTH, FUZZY, GUESS, K, sorted_words
+from checks.sql_parts import CAT, MERGED, TYPED, VEC, constrained, filled, greedy, scored, stated_brand, strip
+from checks.texts import LEGACY, SLIDERS, VARIANT_CTES, WORDS, _query_text
 from nearshelf import fixed_values as V
 from nearshelf.operators.query_text import query_text
 from nearshelf.operators.text_vectors import embed_texts, fit_text_vectors
@@ -120,11 +120,26 @@ def recommend_from_name(spark, sf_dir):
     return P.recommend_from_name(X.spark_sql(spark, sf_dir, NAMES), catalog, embed, K, dim=TEXT_DIM, scorer="native", digits=6)
 
 
+@check("recommend_from_name_exact")
+def recommend_from_name_exact(spark, sf_dir):
+    catalog, embed = _text_catalog(spark, sf_dir)
+    return P.recommend_from_name(X.spark_sql(spark, sf_dir, NAMES), catalog, embed, K, dim=TEXT_DIM, digits=6)
+
+
+def _likes(spark, sf_dir):
+    return X.signals(spark, sf_dir).where("event_type = 'click'").select(F.col("event_id").alias("like_id"), "user_id", "id")
+
+
 @check("recommend_from_likes")
 def recommend_from_likes(spark, sf_dir):
     catalog, embed = _text_catalog(spark, sf_dir)
-    likes = X.signals(spark, sf_dir).where("event_type = 'click'").select(F.col("event_id").alias("like_id"), "user_id", "id")
-    return P.recommend_from_likes(likes, catalog, embed, K, dim=TEXT_DIM, scorer="native", digits=6)
+    return P.recommend_from_likes(_likes(spark, sf_dir), catalog, embed, K, dim=TEXT_DIM, scorer="native", digits=6)
+
+
+@check("recommend_from_likes_exact")
+def recommend_from_likes_exact(spark, sf_dir):
+    catalog, embed = _text_catalog(spark, sf_dir)
+    return P.recommend_from_likes(_likes(spark, sf_dir), catalog, embed, K, dim=TEXT_DIM, digits=6)
 
 
 @check("recommend_v1")
@@ -249,3 +264,64 @@ ORACLES["fuzzy_exact"] = duck(f"""WITH RECURSIVE {_pairs_cte(20)}, {exact_scores
   SELECT p.query_id, p.rank, p.id, e.fuzzy FROM pairs p JOIN exact e USING (pid)""")
 ORACLES["resolve_names_exact"] = duck(_resolved_sql(20, 2, 75))
 ORACLES["resolve_names_v1"] = duck(_resolved_sql(10, 1, 90))
+
+
+# --- chains from a typed name ---------------------------------------------------
+
+LIKED_NAMES = f"""SELECT s.event_id AS query_id, s.user_id, {strip('c.name')} AS typed_name FROM ({X.SIGNALS}) s JOIN cat c ON c.id = s.id
+  WHERE s.event_type = 'click' AND coalesce({strip('c.name')}, '') <> ''"""
+
+
+def _named(names: str, fit_more: list[str], candidates: int, least: int, scorer: str) -> str:
+    """CTEs from texts to resolved(query_id, id), with vec (the catalog by its texts' vectors) and <r>_vec of the CTEs in fit_more.
+    Equal pairs of names are scored once."""
+    if scorer == "native":
+        score = f"exact AS (SELECT pid, {FUZZY} AS fuzzy FROM (SELECT pid, {sorted_words('typed_name')} AS a, {sorted_words('name')} AS b FROM pair))"
+    else:
+        score = exact_scores("pair", 1 if scorer == "exact_v1" else 2)
+    return f"""named AS ({names}), name_asked AS (SELECT query_id AS key, typed_name AS text FROM named),
+  {text_vectors('catalog_text', 'catalog_text', 'name_asked', *fit_more)},
+  vec AS (SELECT c.id, c.name, c.brand, c.price, k.v FROM cat c JOIN catalog_text_vec k ON k.key = c.id WHERE list_sum(k.v) <> 0),
+  name_query AS (SELECT key AS query_id, v AS vector FROM name_asked_vec WHERE list_sum(v) <> 0),
+  {scored('name_query', candidates, bounds=False, name='name_matches')},
+  pairs AS (SELECT dense_rank() OVER (ORDER BY n.typed_name, m.name) AS pid, m.query_id, m.rank, m.id, m.name, n.typed_name
+    FROM name_matches m JOIN named n ON n.query_id = m.query_id WHERE m.name <> ''),
+  pair AS (SELECT DISTINCT pid, typed_name, name FROM pairs), {score},
+  resolved AS (SELECT query_id, id FROM (
+      SELECT p.query_id, p.id, e.fuzzy, row_number() OVER (PARTITION BY p.query_id ORDER BY e.fuzzy DESC, p.rank) AS place FROM pairs p JOIN exact e USING (pid))
+    WHERE place = 1 AND fuzzy >= {least})"""
+
+
+def _similar_to_names(names: str, scorer: str) -> str:
+    """CTEs up to filled and req, the base items."""
+    return f"""WITH RECURSIVE {CAT}, {GUESS}, {CATALOG_TEXTS}, {VARIANT_CTES},
+  variant_asked AS (SELECT query_id || '|' || variant_no AS key, text FROM firsts WHERE place = 1),
+  {_named(names, ['variant_asked'], V.NAME_CANDIDATES, V.NAME_MIN_SCORE, scorer)},
+  req AS (SELECT r.query_id, r.id AS base_id, c.name, c.brand, c.embedding_text FROM resolved r JOIN cat c ON c.id = r.id),
+  var AS (SELECT r.query_id, f.variant_no, a.v AS vector FROM resolved r JOIN firsts f ON f.query_id = r.id AND f.place = 1
+    JOIN variant_asked_vec a ON a.key = f.query_id || '|' || f.variant_no WHERE list_sum(a.v) <> 0),
+  {scored('var', DEPTH, variant='q.variant_no', bounds=False)}, {MERGED}, {greedy(K)}, {constrained(K)}, {filled(K)},
+  answers AS (SELECT f.query_id, f.rank, f.phase, f.id, f.score, r.base_id FROM filled f JOIN req r ON r.query_id = f.query_id
+    UNION ALL SELECT query_id, NULL, NULL, NULL, NULL, NULL FROM named WHERE query_id NOT IN (SELECT query_id FROM resolved))"""
+
+
+for _name, _scorer in (("", "native"), ("_exact", "exact")):
+    ORACLES["recommend_from_name" + _name] = duck(f"{_similar_to_names(NAMES, _scorer)} SELECT * FROM answers")
+    ORACLES["recommend_from_likes" + _name] = duck(
+        f"{_similar_to_names(LIKED_NAMES, _scorer)} SELECT f.*, n.user_id FROM answers f JOIN named n ON n.query_id = f.query_id")
+
+NOTES = " UNION ALL ".join(f"SELECT id || '|{c}' AS key, {c} AS text FROM cat" for c in ("description", "category", "country"))
+ORACLES["recommend_v1"] = duck(f"""WITH RECURSIVE {CAT}, {GUESS}, {CATALOG_TEXTS}, note AS ({NOTES}),
+  {_named(NAMES, ['note'], V.NAME_CANDIDATES_V1, V.NAME_MIN_SCORE_V1, 'exact_v1')},
+  one_vector AS (
+    SELECT r.query_id, c.name AS base_name, list_transform(range(1, {TEXT_DIM + 1}), lambda i: 0.75::DOUBLE * t.v[i]
+      + CASE WHEN coalesce({strip('c.category')}, '') <> '' THEN 0.15::DOUBLE * g.v[i] ELSE 0 END
+      + CASE WHEN coalesce({strip('c.country')}, '') <> '' THEN 0.1::DOUBLE * o.v[i] ELSE 0 END) AS vector
+    FROM resolved r JOIN cat c ON c.id = r.id JOIN note_vec t ON t.key = r.id || '|description'
+    JOIN note_vec g ON g.key = r.id || '|category' JOIN note_vec o ON o.key = r.id || '|country'),
+  one_query AS (SELECT * FROM one_vector WHERE list_sum(vector) <> 0),
+  {scored('one_query', V.weighted_depth(K), bounds=False)}
+  SELECT * FROM (
+    SELECT m.query_id, CAST(row_number() OVER (PARTITION BY m.query_id ORDER BY m.rank) AS INTEGER) AS rank, m.id, m.score
+    FROM matches m JOIN one_query b ON b.query_id = m.query_id
+    WHERE lower(coalesce(m.name, '')) <> lower(coalesce(b.base_name, '')) AND coalesce(m.price, 0) BETWEEN 0 AND 9999) WHERE rank <= {K}""")

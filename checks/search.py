@@ -274,7 +274,7 @@ def similar_items(spark, sf_dir):
 
 # --- names ------------------------------------------------------------------
 
-def _sorted_words(x: str) -> str:
+def sorted_words(x: str) -> str:
     plain = f"regexp_replace(replace(replace(lower({x}), 'â', '~'), '~', 'ä'), '[^\\p{{L}}\\p{{N}}_]', ' ', 'g')"
     # one-byte letter for the accented one, as the edit distance here counts bytes
     return (f"replace(array_to_string(list_sort(list_filter(string_split({plain}, ' '), lambda w: w <> '')), ' '), 'ä', '~')")
@@ -284,7 +284,7 @@ FUZZY = """CAST(round(100 * (greatest(length(a), length(b)) - levenshtein(a, b))
     / greatest(length(a), length(b))) AS INTEGER)"""
 RESOLVE_CTE = f"""{CAT}, {VEC}, {TYPED}, {scored('typed', 20, bounds=False)},
   pairs AS (
-    SELECT m.query_id, m.rank, m.id, m.name, t.typed_name, {_sorted_words('t.typed_name')} AS a, {_sorted_words('m.name')} AS b
+    SELECT m.query_id, m.rank, m.id, m.name, t.typed_name, {sorted_words('t.typed_name')} AS a, {sorted_words('m.name')} AS b
     FROM matches m JOIN typed t ON t.query_id = m.query_id WHERE m.name <> ''),
   fuzzy AS (SELECT *, {FUZZY} AS fuzzy FROM pairs),
   resolved AS (

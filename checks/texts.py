@@ -83,8 +83,8 @@ def query_text(spark, sf_dir):
     return rows.select("id", Q.query_text(rows).alias("full_text"), Q.query_text(rows, include_identity=False).alias("style_text"))
 
 
-VARIANT_TEXTS = f"""WITH {CAT}, {GUESS}, l0 AS ({LEGACY}),
-  three AS (
+# The query texts of the rows of l0: firsts(query_id, variant_no, text, place).
+VARIANT_CTES = f"""three AS (
     SELECT l0.id AS query_id, {_query_text(False)} AS t1,
       CASE WHEN len({comma_items("coalesce(l0.keywords, '')")}) > 0 THEN 'Varietal/Style cues: '
         || array_to_string(list_slice({comma_items("coalesce(l0.keywords, '')")}, -10, -1), ' ') END AS t2,
@@ -96,7 +96,9 @@ VARIANT_TEXTS = f"""WITH {CAT}, {GUESS}, l0 AS ({LEGACY}),
     SELECT query_id, 2, t2 FROM three UNION ALL SELECT query_id, 3, t3 FROM three),
   firsts AS (
     SELECT *, row_number() OVER (PARTITION BY query_id, {squeeze('text')} ORDER BY variant_no) AS place
-    FROM rows WHERE {squeeze('text')} <> '')
+    FROM rows WHERE {squeeze('text')} <> '')"""
+VARIANT_TEXTS = f"""WITH {CAT}, {GUESS}, l0 AS ({LEGACY}),
+  {VARIANT_CTES}
 SELECT query_id, variant_no, text FROM firsts WHERE place = 1"""
 
 
