@@ -18,8 +18,9 @@ from nearshelf.llm.batches import slices
 from nearshelf.llm.tables import small, written
 from nearshelf.llm.worker import kept
 
-#: Words are cut into parts of this many letters at most; the mark that begins a word is extra.
-PART = 48
+#: Words of more letters (the mark included) are summed one by one, their forward values kept in range on the way,
+#: with the pieces of so many places looked up at a time.
+LONG, PLACES = 49, 100_000
 MARK = "▁"
 #: Probability of a letter outside the vocabulary, and what a letter's probability is scaled by to stay in range.
 FLOOR, SCALE = 1e-7, 500.0
@@ -59,7 +60,9 @@ class Pieces:
         """Natural logarithms, one row per word and one column per language; probability: (pieces, languages), scaled."""
         out = np.zeros((len(words), probability.shape[1]))
         sizes = np.array([len(w) for w in words])
-        for size in np.unique(sizes):
+        for k in np.flatnonzero(sizes > LONG):
+            out[k] = self._long(words[k], probability)
+        for size in np.unique(sizes[sizes <= LONG]):
             for some in np.array_split(np.flatnonzero(sizes == size), max(1, (sizes == size).sum() * size // 500_000)):
                 letters = np.array([words[k] for k in some], f"U{size}").view(np.uint32).reshape(len(some), size).astype(np.uint64)
                 ahead = np.zeros((size + 1, len(some), probability.shape[1]))
@@ -77,9 +80,32 @@ class Pieces:
                 out[some] = np.log(ahead[size]) - size * np.log(SCALE)
         return out
 
-
-def _parts(word: str) -> list[str]:
-    return [(MARK if a == 0 else "") + word[a:a + PART] for a in range(0, len(word), PART)]
+    def _long(self, word: str, probability: np.ndarray) -> np.ndarray:
+        """The same for one word of any length, holding the forward values of the next places only."""
+        langs = probability.shape[1]
+        unknown, none = len(probability), len(probability) + 1
+        table = np.vstack((probability, np.full((1, langs), FLOOR * SCALE), np.zeros((1, langs))))
+        letters = np.frombuffer(word.encode("utf-32-le"), np.uint32).astype(np.uint64)
+        ahead, scale = np.zeros((self.longest + 1, langs)), np.zeros(langs)
+        ahead[0] = 1.0
+        for a in range(0, len(letters), PLACES):
+            size = min(PLACES, len(letters) - a)
+            piece = np.full((size, self.longest), none)
+            code = np.zeros(size, np.uint64)
+            for n in range(1, self.longest + 1):
+                code = code[:len(letters) - a - n + 1]
+                code = code * MULTIPLIER + letters[a + n - 1:a + n - 1 + len(code)] + np.uint64(1)
+                at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+                piece[:len(code), n - 1] = np.where(self.codes[at] == code, self.of[at], unknown if n == 1 else none)
+            for i in range(size):
+                ahead[1:] += ahead[0] * table[piece[i]]
+                ahead[:-1] = ahead[1:]
+                ahead[-1] = 0.0
+                if i % 32 == 31:
+                    most = ahead.max(0)
+                    ahead /= most
+                    scale += np.log(most)
+        return np.log(ahead[0]) + scale - len(letters) * np.log(SCALE)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -94,9 +120,14 @@ def learn_pieces(docs: DataFrame, *, model: str, docs_per_language: int = 1_500,
     smallest hash of their doc_id, never from held-out ones.
     """
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(F.col(doc_id)))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = rows.select(F.col(lang).cast("string").alias("lang"), F.col(doc_id).alias("doc_id")).distinct()
-    ids = written(ids.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= docs_per_language).select("lang", "doc_id"), "language-sample")
+    # Ranked among the ids of a slice of the hashes first, so that no task holds all ids of a language.
+    salts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ids = ids.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
+    for keys in (["lang", "_salt"], ["lang"]):
+        first = Window.partitionBy(*keys).orderBy(F.xxhash64("doc_id"), "doc_id")
+        ids = ids.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= docs_per_language)
+    ids = written(ids.select("lang", "doc_id"), "language-sample")
     rows = rows.select(F.col(lang).cast("string").alias("lang"), F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     narrow = rows.join(small(ids), ["lang", "doc_id"])
 
@@ -129,7 +160,8 @@ def identify_language(docs: DataFrame, *, model: str, docs_per_language: int = 1
 
     lang_pred is the learned language under which the whole text's letters, lower-cased
     and in words, are most likely; of equally likely ones the first in the alphabet.
-    score is its posterior probability with equal priors. Null texts and texts without a
+    score is its posterior probability with equal priors. Runs of letters of any length
+    are summed over all their segmentations. Null texts and texts without a
     letter are und with score 0, as is everything if no document has a language to learn.
     model names a sentencepiece file that every worker can open. Only text is used to
     predict; one row comes out per row that goes in.
@@ -163,11 +195,9 @@ def identify_language(docs: DataFrame, *, model: str, docs_per_language: int = 1
                 numbers, logs = {}, logs[:0]
             new = [w for w in words if w and w not in numbers]
             if new and languages:
-                parts = [p for w in new for p in _parts(w)]
-                found = finder.log_likelihoods(parts, table)
-                first = np.cumsum([0] + [len(_parts(w)) for w in new[:-1]])
+                found = finder.log_likelihoods([MARK + w for w in new], table)
                 numbers.update(zip(new, range(len(logs), len(logs) + len(new))))
-                logs = np.concatenate((logs, np.add.reduceat(found, first)))
+                logs = np.concatenate((logs, found))
             row = np.concatenate((logs, np.zeros((1, len(languages)))))
             which = np.array([numbers.get(w, len(logs)) for w in words], np.int64)[coded.indices.to_numpy()]
             counts = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)

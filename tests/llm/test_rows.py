@@ -199,6 +199,32 @@ def test_languages(spark, sf_dir):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_long_words_sum_over_all_segmentations(monkeypatch):
+    import nearshelf.llm.language_id as L
+
+    made = np.random.default_rng(3)
+    listed = sorted({L.MARK} | {L.MARK[:k % 2] + "".join(made.choice(list("abc"), 1 + k % 5)) for k in range(60)})
+    finder = Pieces(listed)
+    probability = made.random((len(listed), 3)) / len(listed)
+    scaled = probability * np.power(L.SCALE, [len(p) for p in listed])[:, None]
+    words = [L.MARK + "".join(made.choice(list("abcd"), n)) for n in (1, 20, 48, 49, 50, 97, 400)]
+
+    def plain(word, column):
+        ahead = [0.0]
+        for end in range(1, len(word) + 1):
+            ways = [ahead[end - len(p)] + np.log(probability[k, column]) for k, p in enumerate(listed) if len(p) <= end and word[end - len(p):end] == p]
+            if word[end - 1] not in listed:
+                ways.append(ahead[end - 1] + np.log(L.FLOOR))
+            ahead.append(np.logaddexp.reduce(ways))
+        return ahead[-1]
+
+    want = [[plain(w, c) for c in range(3)] for w in words]
+    assert np.allclose(finder.log_likelihoods(words, scaled), want, rtol=1e-9)
+    monkeypatch.setattr(L, "PLACES", 7)
+    monkeypatch.setattr(L, "LONG", 0)
+    assert np.allclose(finder.log_likelihoods(words, scaled), want, rtol=1e-9)
+
+
 def test_language_edges(spark):
     rows = {r["lang_pred"] for r in identify_language(edge_docs(spark), model=PIECES).where("doc_id IN (1, 2, 3)").collect()}
     assert rows == {"und"}
