@@ -208,7 +208,7 @@ def _count(encoded: DataFrame, n: int, least: int, filters: dict[str, Places]) -
             if all(firsts.column(c).take(again).equals(table.column(c)) for c in ("lang", "phrase")):
                 counts = np.bincount(inverse, table.column("f").to_numpy(), len(first)).astype(np.int64)
                 table = firsts.set_column(5, "f", pa.array(counts))
-            return table.to_batches()
+            return table
 
         held, size = [], 0
         for row in _rows(batches):
@@ -222,11 +222,15 @@ def _count(encoded: DataFrame, n: int, least: int, filters: dict[str, Places]) -
                 pa.repeat(pa.scalar(row["lang"], pa.string()), len(at)), phrase, *(pa.array(x.view(np.int64)) for x in (code[at], head, tail)),
                 pa.array(counts.astype(np.int64))], ["lang", "phrase", "code", "head", "tail", "f"]))
             size += len(at)
-            if size >= PHRASES:
-                yield from summed(held)
-                held, size = [], 0
+            if size >= 2 * PHRASES:
+                # What is left stays for the rows to come, unless the sum has become large itself.
+                held = [summed(held)]
+                size = held[0].num_rows
+                if size >= PHRASES:
+                    yield from held[0].to_batches()
+                    held, size = [], 0
         if held:
-            yield from summed(held)
+            yield from summed(held).to_batches()
 
     found = encoded.mapInArrow(by_phrase, COUNTED).groupBy("lang", "phrase").agg(
         *(F.first(c).alias(c) for c in ("code", "head", "tail")), F.sum("f").alias("f")).where(F.col("f") >= least)
