@@ -14,7 +14,7 @@ from nearshelf.operators import extract as E, profile as R
 from nearshelf.operators.ranges import value_at
 from nearshelf.plans import ingest as I
 from nearshelf.session import work_folder
-from nearshelf.sources import manifest as M, names as N, pages as PG, records as RC, vector_log as VL, vector_table as VT
+from nearshelf.sources import manifest as M, names as N, page_packs as PP, pages as PG, records as RC, vector_log as VL, vector_table as VT
 from nearshelf.streaming import ingest as SI
 
 SHAPE = "item_no % 12"
@@ -136,13 +136,29 @@ def lossy_text(spark, sf_dir):
     return raw.select("page_id", PG.decode_text(F.col("content")).alias("html"))
 
 
-@check("page_files", "SELECT page_id, html || chr(10) AS html FROM pages")
-def page_files(spark, sf_dir):
-    """Every real page written as a file of its own and read back as a page."""
+PAGE_ID = F.regexp_extract("path", r"page_id=(\d+)/", 1).cast("bigint").alias("page_id")
+
+
+def _single_files(spark, sf_dir):
+    """Every real page written as a file of its own; the folders."""
     base = work_folder(spark, "files")
     X.spark_sql(spark, sf_dir, "SELECT page_id, html FROM {pages}").repartition("page_id").write.partitionBy("page_id").text(base)
-    page_id = F.regexp_extract("path", r"page_id=(\d+)/", 1).cast("bigint").alias("page_id")
-    return PG.read_pages(spark, base + "/page_id=*", glob="*.txt").select(page_id, "html")
+    return base + "/page_id=*"
+
+
+@check("page_files", "SELECT page_id, html || chr(10) AS html FROM pages")
+def page_files(spark, sf_dir):
+    """Pages read from files of their own."""
+    return PG.read_pages(spark, _single_files(spark, sf_dir), glob="*.txt").select(PAGE_ID, "html")
+
+
+@check("page_packs", "SELECT page_id, html || chr(10) AS html FROM pages")
+def page_packs(spark, sf_dir):
+    """The same pages packed, in a second run those that the first one left out, and read from the packs."""
+    files, packs = _single_files(spark, sf_dir), work_folder(spark, "packs")
+    PP.pack_pages(spark, files.replace("*", "*[0-4]"), packs, glob="*.txt")
+    PP.pack_pages(spark, files, packs, glob="*.txt")
+    return PP.read_packed(spark, packs).select(PAGE_ID, "html")
 
 
 ALL_PATHS = f"SELECT '/pages/' || cast(item_no AS string) || '.html' AS path FROM ({X.CATALOG}) c UNION ALL SELECT '/real/' || cast(page_id AS string) || '.htm' FROM {{pages}}"
