@@ -136,7 +136,8 @@ def lossy_text(spark, sf_dir):
     return raw.select("page_id", PG.decode_text(F.col("content")).alias("html"))
 
 
-PAGE_ID = F.regexp_extract("path", r"page_id=(\d+)/", 1).cast("bigint").alias("page_id")
+def _page_id():
+    return F.regexp_extract("path", r"page_id=(\d+)/", 1).cast("bigint").alias("page_id")
 
 
 def _single_files(spark, sf_dir):
@@ -149,7 +150,7 @@ def _single_files(spark, sf_dir):
 @check("page_files", "SELECT page_id, html || chr(10) AS html FROM pages")
 def page_files(spark, sf_dir):
     """Pages read from files of their own."""
-    return PG.read_pages(spark, _single_files(spark, sf_dir), glob="*.txt").select(PAGE_ID, "html")
+    return PG.read_pages(spark, _single_files(spark, sf_dir), glob="*.txt").select(_page_id(), "html")
 
 
 @check("page_packs", "SELECT page_id, html || chr(10) AS html FROM pages")
@@ -158,7 +159,7 @@ def page_packs(spark, sf_dir):
     files, packs = _single_files(spark, sf_dir), work_folder(spark, "packs")
     PP.pack_pages(spark, files.replace("*", "*[0-4]"), packs, glob="*.txt")
     PP.pack_pages(spark, files, packs, glob="*.txt")
-    return PP.read_packed(spark, packs).select(PAGE_ID, "html")
+    return PP.read_packed(spark, packs).select(_page_id(), "html")
 
 
 ALL_PATHS = f"SELECT '/pages/' || cast(item_no AS string) || '.html' AS path FROM ({X.CATALOG}) c UNION ALL SELECT '/real/' || cast(page_id AS string) || '.htm' FROM {{pages}}"
