@@ -193,3 +193,36 @@ def test_chunks_move_no_vectors(data):
     plan = S.cosine_topk(queries, catalog, 3, dim=DIM, method="chunks", payload=("name",))._jdf.queryExecution().optimizedPlan().toString()
     joined = [line for line in plan.split("\n") if "Project" in line or "Relation" in line or "Filter" in line]
     assert "vector" not in plan and not any("embedding" in line for line in joined if "Project" in line)
+
+
+@pytest.mark.parametrize("options", [dict(), dict(broadcast_bytes=30_000), dict(broadcast_bytes=12_000)])
+def test_queries_that_stay(data, options):
+    vectors, prices, q, catalog, queries = data
+    got = S.cosine_topk(queries, catalog, 9, dim=DIM, digits=6, payload=("name",), method="passes", **options).collect()
+    assert {(r.query_id, r.variant_no, r.rank, r.id) for r in got} == brute_force(vectors, prices, q, 9)
+    assert all(r.name == "n" + str(int(r.id[1:])) for r in got)
+
+
+def test_a_query_with_its_matches_in_later_chunks_is_searched_again(data, monkeypatch):
+    vectors, prices, q, catalog, queries = data
+    monkeypatch.setattr(S.blocks, "guessed_rank", lambda k, share: 1)
+    got = S.cosine_topk(queries, catalog, 9, dim=DIM, digits=6, method="passes", broadcast_bytes=20_000).collect()
+    assert {(r.query_id, r.variant_no, r.rank, r.id) for r in got} == brute_force(vectors, prices, q, 9)
+
+
+def test_equal_keys_share_their_places(data):
+    *_, catalog, queries = data
+    twice = queries.withColumn("query_id", F.col("query_id") % 50)
+    want, *others = [sorted((r.query_id, r.variant_no, r.rank, r.id, r.score) for r in S.cosine_topk(twice, catalog, 9, dim=DIM, digits=6, **o).collect())
+                     for o in (dict(), dict(method="passes"), dict(method="passes", broadcast_bytes=20_000))]
+    assert all(o == want for o in others)
+
+
+def test_many_queries_hold_few_hits(data, monkeypatch):
+    """A query's hits leave one task where the catalog fits into one chunk, and queries that travel are bounded by their hits."""
+    *_, catalog, queries = data
+    monkeypatch.setattr(S, "HELD_HITS", 300)
+    seen = []
+    monkeypatch.setattr(S, "_final_rank", lambda hits, k, payload, real=S._final_rank: (seen.append(hits.count()), real(hits, k, payload))[1])
+    got = S.cosine_topk(queries, catalog, 9, dim=DIM, digits=6)
+    assert seen == [got.count()]
