@@ -151,3 +151,14 @@ def test_merge_keeps_best_score_and_first_sight(spark):
     matches = spark.createDataFrame(rows, "query_id INT, variant_no INT, rank INT, id STRING, score DOUBLE")
     got = [(r.cand_rank, r.id, r.score) for r in C.merge_candidates(matches).orderBy("cand_rank").collect()]
     assert got == [(1, "a", 0.5), (2, "b", 0.5), (3, "c", 0.5)]
+
+
+def test_late_candidates_are_found_where_the_first_do_not_fill(spark):
+    """600 copies of one item in front: the places left go to candidates far behind the head."""
+    rows = [(1, n, f"i{n:04d}", 1.0, "Same" if n <= 600 else f"Other {n}", "B" if n <= 600 else f"B{n}") for n in range(1, 611)]
+    cand = spark.createDataFrame(rows, "query_id INT, cand_rank INT, id STRING, score DOUBLE, name STRING, brand STRING")
+    base = spark.createDataFrame([(1, "Same", "B", "")], "query_id INT, name STRING, brand STRING, embedding_text STRING")
+    picked = [r.cand_rank for r in D.diversify(cand, 6).orderBy("rank").collect()]
+    assert picked[:3] == [1, 601, 602] and len(picked) == 6
+    got = [(r.phase, r.id) for r in D.select_diverse(cand, base, 6).orderBy("rank").collect()]
+    assert len(got) == 6 and all(int(i[1:]) > 600 for _, i in got)
