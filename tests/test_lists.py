@@ -121,3 +121,15 @@ def test_plan_from_a_name_equals_its_steps(spark):
     key = lambda r: (r.query_id, r.rank, r.phase, r.id, r.score, r.base_id)
     assert sorted(key(r) for r in whole if r.id is not None) == sorted(key(r) for r in steps)
     assert {r.query_id for r in whole} == {r.query_id for r in names.collect()}
+
+
+def test_equal_asks_are_made_once(spark):
+    from nearshelf.plans.recommend import _distinct_asks
+
+    rows = spark.createDataFrame([(1, "a"), (2, "a"), (3, None), (4, "b"), (4, "a"), (5, "a"), (5, "b"), (None, "a")], "query_id INT, typed_name STRING")
+    asking, asked = _distinct_asks(rows, ["typed_name"], "test-asks")
+    texts = {}
+    for r in asked.collect():
+        texts.setdefault(r.query_id, []).append(r.typed_name)
+    assert len(texts) == 3
+    assert {r.query_id: sorted(texts[r.ask_no], key=str) for r in asking.collect()} == {1: ["a"], 2: ["a"], 3: [None], 4: ["a", "b"], 5: ["a", "b"]}
