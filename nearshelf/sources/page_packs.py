@@ -47,16 +47,23 @@ def pack_pages(spark: SparkSession, folder: str, packs: str, glob: str = V.PAGE_
     found = new.agg(F.count("*").alias("pages"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")).first()
     if not found.pages:
         return 0
-    bodies = files
-    if not done.isEmpty():
-        paths = new.select("path")
-        bodies = files.join(F.broadcast(paths) if found.pages <= BROADCAST_PATHS else paths, "path", "left_semi")
-    tasks = max(-(-found.bytes // pack_bytes), -(-found.pages // pack_pages))
-    bodies.coalesce(int(tasks)).sortWithinPartitions("path").select(*files.columns).write.mode("append").options(
+    tasks = int(max(-(-found.bytes // pack_bytes), -(-found.pages // pack_pages)))
+    bodies = to_pack(files, None if done.isEmpty() else new.select("path"), found.pages, tasks)
+    bodies.sortWithinPartitions("path").select(*files.columns).write.mode("append").options(
         maxRecordsPerFile=pack_pages, **ROW_GROUPS).parquet(packs)
     return found.pages
 
 
+def to_pack(files: DataFrame, paths: DataFrame | None, pages: int, tasks: int) -> DataFrame:
+    """Files of the paths, all without, in so many partitions. Paths that travel meet partitions that are coalesced already:
+    otherwise a task holds them once for every partition that it takes. A semi join would be planned below the coalesce."""
+    if paths is None:
+        return files.coalesce(tasks)
+    if pages <= BROADCAST_PATHS:
+        return files.coalesce(tasks).join(F.broadcast(paths.distinct()), "path").select(*files.columns)
+    return files.join(paths, "path", "left_semi").coalesce(tasks)
+
+
 def read_packed(spark: SparkSession, packs: str) -> DataFrame:
     """path, file_name, html of all packed pages, in no particular order; large packs are split by row groups."""
     return page_columns(packed_files(spark, packs))

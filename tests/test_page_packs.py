@@ -64,6 +64,15 @@ def test_packs_are_bounded(spark, folder, tmp_path):
     assert paths == sorted(paths)
 
 
+def test_new_paths_are_held_once_per_pack(spark, folder):
+    files = spark.read.format("binaryFile").load(str(folder))
+    paths = files.where("length > 10").select("path")
+    assert files.rdd.getNumPartitions() > 2
+    plan = PP.to_pack(files, paths, 32, 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join Inner") < plan.index("Repartition 2, false")
+    assert sorted(r.path for r in PP.to_pack(files, paths, 32, 2).collect()) == sorted(r.path for r in paths.collect())
+
+
 def test_no_body_is_read_for_paths(spark, folder, tmp_path):
     packs = str(tmp_path / "packs")
     PP.pack_pages(spark, str(folder), packs)
