@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearshelf.llm.batches import slices
+from nearshelf.llm.batches import release, slices
 from nearshelf.llm.shingles import mixed
 from nearshelf.llm.tables import small, written
 
@@ -100,22 +100,36 @@ def _scan(length: int, gram: int):
 SCAN = "row bigint, start bigint, n int, minimizer bigint, print bigint, inner boolean"
 
 
+def _ranks(key: np.ndarray) -> np.ndarray:
+    """The place of each key among the different keys."""
+    by = np.argsort(key)
+    ordered = key[by]
+    new = np.zeros(len(key), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    del ordered
+    rank = np.empty(len(key), np.int32)
+    rank[by] = np.cumsum(new, dtype=np.int32)
+    return rank
+
+
 def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
     """Positions of all suffixes, in order of their first depth symbols at least (symbols under 512, the last one 0 and alone)."""
     n = len(symbols)
-    padded = np.concatenate((symbols.astype(np.uint64), np.zeros(6, np.uint64)))
+    padded = np.concatenate((symbols, np.zeros(6, symbols.dtype)))
     key = np.zeros(n, np.uint64)
     for k in range(7):
-        key = (key << np.uint64(9)) | padded[k:k + n]
-    _, rank = np.unique(key, return_inverse=True)
+        key <<= np.uint64(9)
+        key |= padded[k:k + n]
+    rank = _ranks(key)
     known = 7
     while known < depth and rank.max() < n - 1:
-        behind = np.zeros(n, np.int64)
+        key = rank * np.int64(n + 1)
         if known < n:
-            behind[:n - known] = rank[known:] + 1
-        _, rank = np.unique(rank * np.int64(n + 1) + behind, return_inverse=True)
+            key[:n - known] += rank[known:] + 1
+        rank = _ranks(key)
         known *= 2
-    return np.argsort(rank, kind="stable")
+    del key
+    return np.argsort(rank, kind="stable").astype(np.int32)
 
 
 def distinct_before(symbols: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
@@ -124,24 +138,28 @@ def distinct_before(symbols: np.ndarray, order: np.ndarray, length: int) -> np.n
     On the transform (the symbol before each suffix), the interval of a string w holds
     the intervals of all cw. Intervals are extended level by level; where one ends first
     at level l, the rows around its end share l symbols. Levels stop at length.
+    Rows are numbered in 32 bits, as a level holds some ten numbers for each.
     """
     n = len(order)
     before = symbols[order - 1]
-    back = np.empty(n, np.int64)
-    back[np.argsort(before, kind="stable")] = np.arange(n)
+    back = np.empty(n, np.int32)
+    back[np.argsort(before, kind="stable")] = np.arange(n, dtype=np.int32)
     found = np.zeros(n + 1, bool)
     found[0] = found[n] = True
-    low, high = np.zeros(1, np.int64), np.full(1, n, np.int64)
+    low, high = np.zeros(1, np.int32), np.full(1, n, np.int32)
     for _ in range(length):
         size = high - low
-        of = np.repeat(np.arange(len(low)), size)
-        row = np.arange(size.sum()) + np.repeat(low - (np.cumsum(size) - size), size)
+        row = np.arange(size.sum(), dtype=np.int32)
+        row += np.repeat(low - (np.cumsum(size, dtype=np.int32) - size), size)
         to = back[row]
         by = np.argsort(to)
-        to, of, letter = to[by], of[by], before[row[by]]
+        to, letter = to[by], before[row[by]]
+        del row
+        of = np.repeat(np.arange(len(low), dtype=np.int32), size)[by]
+        del by
         begins = np.concatenate(([True], (of[1:] != of[:-1]) | (letter[1:] != letter[:-1])))
         low = to[begins]
-        high = to[np.concatenate((begins[1:], [True]))] + 1
+        high = to[np.concatenate((begins[1:], [True]))] + np.int32(1)
         new = ~found[high]
         low, high = low[new], high[new]
         if not len(low):
@@ -192,10 +210,13 @@ def _blocks(length: int):
                 if size >= BLOCK_BYTES and r[0] != rows[-1][0]:
                     yield pd.DataFrame(judged(rows), columns=["minimizer", "print", "n", "ranges"])
                     rows, size = [], 0
+                    release()
                 rows.append(r)
                 size += len(r[4])
         if rows:
             yield pd.DataFrame(judged(rows), columns=["minimizer", "print", "n", "ranges"])
+        del rows
+        release()
 
     return run
 
@@ -219,6 +240,8 @@ def _cut(length: int, whole: bool):
                     else:
                         out.append((x["minimizer"], x["print"], n, x["c"], piece))
             yield pd.DataFrame(out, columns=["minimizer", "print", "n", "c", *(["k", "key"] if whole else ["piece"])])
+            del out, batch
+            release()
 
     return run
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 import time
 import re
 from collections import Counter, defaultdict
@@ -264,3 +265,15 @@ def test_contamination_of_test_data(spark, sf_dir):
     got = {(r["doc_id"], r["item_id"]) for r in find_contamination(docs, benchmark).collect()}
     assert whole and whole <= got
     assert overlap(set(), {1}) == 1
+
+
+def test_a_block_takes_few_bytes_for_each_of_its_own():
+    rng = random.Random(3)
+    base = [bytes(rng.choice(b"abcdefgh") for _ in range(600)) for _ in range(80)]
+    pieces = [b[:k] + bytes([k % 256]) + b[k + 1:] for b in base for k in (50, 250, 450)]
+    repeats_in_block(pieces[:3], [1] * 3, [401] * 3, 200)
+    tracemalloc.start()
+    repeats_in_block(pieces, [1] * len(pieces), [401] * len(pieces), 200)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 75 * 601 * len(pieces)
