@@ -13,8 +13,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CELLS_AT_ONCE = 8_000_000  # scores held at a time: 32 MB of floats
+CELLS_AT_ONCE = 2_000_000  # scores held at a time: 8 MB of floats
 PIECE_ROWS = 8_192         # catalog rows scored at a time
+WIDE_AT_ONCE = 1 << 17     # numbers of vectors scored in double precision at a time
+GROUP_ROWS = 16            # catalog rows of which the best one stands for all where a first bar is set
 OUT_ROWS = 65_536
 
 
@@ -56,16 +58,38 @@ def query_block(table: pa.Table, keys: list[str], dim: int, off: tuple[float, fl
 @dataclass
 class CatalogBlock:
     columns: pa.Table       # id and payload, ordered by id
-    vectors: np.ndarray     # unit rows
-    narrow: np.ndarray      # the same in single precision
+    rows: np.ndarray        # vectors as they came, not copied where Arrow has them in one piece
+    norms: np.ndarray
+    narrow: np.ndarray      # unit rows in single precision
     price: np.ndarray
 
+    def vectors(self, at: np.ndarray) -> np.ndarray:
+        """Some rows as unit rows."""
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return self.rows[at].astype(np.float64) / self.norms[at, None]
+
+
+def in_order(table: pa.Table) -> pa.Table:
+    """The table by id, in one piece; itself where it is so already."""
+    order = pc.sort_indices(table.column("id")).to_numpy()
+    if not (order[1:] > order[:-1]).all():
+        table = table.take(pa.array(order))
+    return table.combine_chunks()
+
 
 def catalog_block(table: pa.Table, dim: int, payload: list[str]) -> CatalogBlock:
-    table = table.take(pc.sort_indices(table.column("id")))
-    vectors = unit_rows(table.column("embedding"), dim)
-    columns = table.select(["id", *payload]).combine_chunks()
-    return CatalogBlock(columns, vectors, vectors.astype(np.float32), table.column("price").to_numpy().astype(np.float64))
+    table = in_order(table)
+    column = table.column("embedding")
+    column = column.chunk(0) if column.num_chunks == 1 else column.combine_chunks()
+    rows = column.flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, dim)
+    norms, narrow = np.empty(len(rows)), np.empty(rows.shape, np.float32)
+    for start in range(0, len(rows), PIECE_ROWS):
+        piece = slice(start, start + PIECE_ROWS)
+        wide = rows[piece].astype(np.float64)
+        norms[piece] = np.sqrt(np.einsum("ij,ij->i", wide, wide))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            narrow[piece] = wide / norms[piece, None]
+    return CatalogBlock(table.select(["id", *payload]), rows, norms, narrow, table.column("price").to_numpy().astype(np.float64))
 
 
 def part_of(q: QueryBlock, who) -> QueryBlock:
@@ -86,6 +110,15 @@ def _price_allowed(q: QueryBlock, price: np.ndarray, who=None) -> np.ndarray | N
     return (~low_on | (price >= low)) & (~high_on | (price <= high))     # nan fails
 
 
+def _true_places(flags: np.ndarray) -> np.ndarray:
+    """np.flatnonzero of few flags: eight are looked at together."""
+    flat = flags.ravel()
+    whole = len(flat) - len(flat) % 8
+    eights = np.flatnonzero(flat[:whole].view(np.uint64))
+    of, at = np.nonzero(flat[:whole].reshape(-1, 8)[eights])
+    return np.concatenate([eights[of] * 8 + at, np.flatnonzero(flat[whole:]) + whole])
+
+
 def guessed_rank(k: int, share: float) -> int:
     """The k best of a table have fewer rows than this in a random share of it, but for bad luck."""
     mean = k * share
@@ -99,41 +132,44 @@ def best_rows(q: QueryBlock, c: CatalogBlock, k: int, digits: int | None, guess:
     rounding may take; these are scored in double precision. Without a floor the first piece sets the bar,
     for a large block by a guess. Queries that find fewer than k rows above a guess are searched again without.
     """
-    n = len(c.vectors)
+    n = len(c.rows)
     none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     if not n or not len(q.vectors):
         return none
-    slack = (c.vectors.shape[1] + 8) * 2.0 ** -23 + (10.0 ** -digits if digits is not None else 0.0)
+    slack = (c.rows.shape[1] + 8) * 2.0 ** -23 + (10.0 ** -digits if digits is not None else 0.0)
     floor = q.floor.copy()
     bar = floor - slack
     guessed = np.zeros(len(floor), bool)
     narrow = q.vectors.astype(np.float32)
     found, held = [none], 0
+    space = np.empty(len(narrow) * min(n, PIECE_ROWS), np.float32)
     for start in range(0, n, PIECE_ROWS):
         piece = slice(start, min(n, start + PIECE_ROWS))
         width = piece.stop - start
-        scores = narrow @ c.narrow[piece].T
+        scores = np.matmul(narrow, c.narrow[piece].T, out=space[:len(narrow) * width].reshape(len(narrow), width))
         open_ended = np.flatnonzero(bar == -np.inf)
         rank = min(k, guessed_rank(k, width / (n - start))) if guess else k
         if len(open_ended) and width >= rank:
-            seen = scores[open_ended]
-            seen[np.isnan(seen)] = -np.inf
+            seen = scores if len(open_ended) == len(scores) else scores[open_ended]
             allowed = _price_allowed(part_of(q, open_ended), c.price[piece])
             if allowed is not None:
-                seen[~allowed] = -np.inf
-            reached = np.partition(seen, width - rank, axis=1)[:, width - rank].astype(np.float64)
+                seen = np.where(allowed, seen, -np.inf)
+            # The rank-th of the groups' best scores is no higher than the rank-th score.
+            if width >= 4 * rank * GROUP_ROWS:
+                seen = seen[:, :width - width % GROUP_ROWS].reshape(len(seen), -1, GROUP_ROWS).max(axis=2)
+            seen = np.where(np.isnan(seen), -np.inf, seen)
+            reached = np.partition(seen, -rank, axis=1)[:, -rank].astype(np.float64)
             bar[open_ended] = reached - 2 * slack
             guessed[open_ended] = (rank < k) & (reached > -np.inf)
-        at = np.flatnonzero((scores >= bar.astype(np.float32)[:, None] - np.float32(1e-7)).ravel())
-        rows, cols = np.divmod(at, width)
+        rows, cols = np.divmod(_true_places(scores >= bar.astype(np.float32)[:, None] - np.float32(1e-7)), width)
         allowed = _price_allowed(q, c.price[start + cols], rows)
         if allowed is not None:
             rows, cols = rows[allowed], cols[allowed]
         cols = cols + start
-        values = np.empty(len(rows))
-        for i in range(0, len(rows), PIECE_ROWS):
-            some = slice(i, i + PIECE_ROWS)
-            values[some] = np.einsum("ij,ij->i", q.vectors[rows[some]], c.vectors[cols[some]])
+        values, part = np.empty(len(rows)), max(1, WIDE_AT_ONCE // c.rows.shape[1])
+        for i in range(0, len(rows), part):
+            some = slice(i, i + part)
+            values[some] = np.einsum("ij,ij->i", q.vectors[rows[some]], c.vectors(cols[some]))
         if digits is not None:
             values = np.round(values, digits)
         kept = (values >= floor[rows]) & (values > -np.inf)
@@ -168,7 +204,7 @@ def _first_k(parts: list, k: int):
 
 def hits_in(q: QueryBlock, c: CatalogBlock, k: int, digits: int | None):
     """Tables of hits, some queries at a time; q_no is the query's number in the block."""
-    step = max(1, CELLS_AT_ONCE // max(1, min(len(c.vectors), PIECE_ROWS), 8 * k))
+    step = max(1, CELLS_AT_ONCE // max(1, min(len(c.rows), PIECE_ROWS), 2 * k))
     for start in range(0, max(1, len(q.vectors)), step):
         rows, cols, values = best_rows(part_of(q, slice(start, start + step)), c, k, digits)
         hits = c.columns.take(pa.array(cols)).append_column("score", pa.array(values))

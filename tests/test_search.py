@@ -1,9 +1,11 @@
 """Vector search against numpy, both ways of running it."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from nearshelf.functions import blocks as B
 from nearshelf.functions.vectors import cosine
 from nearshelf.operators import search as S
 from nearshelf.operators.cells import cosine_topk_cells, write_cells
@@ -232,3 +234,52 @@ def test_small_blocks_do_not_multiply_the_other_side():
     assert S._blocks_of(100, DIM, 8 * DIM * 25) == 4
     assert S._blocks_of(100_000, DIM, 8 * DIM) == S.BLOCKS
     assert S._blocks_of(100 * S.BLOCK_BYTES // (8 * DIM), DIM, 8 * DIM) == 100
+
+
+@pytest.mark.parametrize("many", [dict(method="passes"), dict(method="passes", broadcast_bytes=20_000), dict(broadcast_bytes=9_000)])
+def test_derived_sides_are_computed_once(spark, data, monkeypatch, many):
+    """Few rows of either side are asked for a second time, whatever the number of chunks."""
+    vectors, prices, q, catalog, queries = data
+    monkeypatch.setattr(S, "HELD_HITS", 300)
+    asked, searched = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def counted(into):
+        def run(batches):
+            for batch in batches:
+                into.add(batch.num_rows)
+                yield batch
+        return run
+
+    got = S.cosine_topk(queries.mapInArrow(counted(asked), queries.schema), catalog.mapInArrow(counted(searched), catalog.schema), 9, dim=DIM, digits=6, **many)
+    assert {(r.query_id, r.variant_no, r.rank, r.id) for r in got.collect()} == brute_force(vectors, prices, q, 9)
+    assert searched.value == catalog.count()
+    assert asked.value <= 2 * queries.count()
+
+
+def test_a_block_holds_its_vectors_once():
+    vectors = np.random.default_rng(5).normal(size=(500, DIM)).astype(np.float32)
+    table = pa.table({"id": [f"i{n:03d}" for n in range(500)], "price": np.ones(500), "embedding": pa.array(list(vectors), pa.list_(pa.float32()))})
+    block = B.catalog_block(table, DIM, [])
+    flat = table.column("embedding").chunk(0).flatten().to_numpy()
+    assert np.shares_memory(block.rows, flat)
+    wide = vectors.astype(np.float64)
+    assert (block.vectors(np.arange(500)) == wide / np.sqrt(np.einsum("ij,ij->i", wide, wide))[:, None]).all()
+
+
+def test_first_bar_by_groups_loses_no_row():
+    """Rows of one group of neighbours are the best ones; a vector of no number and prices are among them."""
+    rng = np.random.default_rng(6)
+    vectors = rng.normal(size=(9_001, DIM)).astype(np.float32)
+    vectors[64:96] = vectors[64] + rng.normal(size=(32, DIM)) / 50
+    vectors[70] = np.nan
+    table = pa.table({"id": [f"i{n:05d}" for n in range(9_001)], "price": np.arange(9_001) % 7.0, "embedding": pa.array(list(vectors), pa.list_(pa.float32()))})
+    unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+    for low in (0.0, 3.0):
+        asked = pa.table({"query_id": [1, 2], "vector": pa.array([vectors[64], vectors[500]], pa.list_(pa.float32())),
+                          "price_min": [low, low], "price_max": [999999.0] * 2, "floor": [-np.inf] * 2})
+        q = B.query_block(asked, ["query_id"], DIM, (0.0, 999999.0))
+        rows, cols, _ = B.best_rows(q, B.catalog_block(table, DIM, []), 20, 6)
+        for n, of in enumerate((64, 500)):
+            scores = np.round(unit.astype(np.float64) @ unit[of], 6)
+            scores[np.isnan(scores) | (np.arange(9_001) % 7 < low)] = -np.inf
+            assert np.allclose(scores[cols[rows == n]], np.sort(scores)[::-1][:20], atol=2e-6)
