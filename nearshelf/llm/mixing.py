@@ -42,18 +42,18 @@ def _described(docs: DataFrame) -> DataFrame:
     df = docs.withColumn("_t", F.coalesce(F.col("text"), F.lit("")))
     df = df.withColumns({
         "n_tokens": F.size(words(F.col("_t"))).cast("bigint"),
-        "_terms": F.array_distinct(F.array_remove(F.split(F.lower("_t"), r"[^\p{L}\p{N}]+"), "")),
-        "_rest": F.regexp_replace("_t", r"[\p{Ll}\x20\x09-\x0D]+", ""),
+        "_words": F.array_distinct(F.array_remove(F.split(F.lower("_t"), r"[^\p{L}\p{N}]+"), "")),
+        "_rest": F.regexp_replace("_t", r"[a-z\x20\x09-\x0D\p{Ll}]+", ""),
     })
-    long = F.filter("_terms", lambda w: F.length(w) > STEM)
-    df = df.withColumn("_terms", F.concat("_terms", F.array_distinct(F.transform(long, lambda w: F.concat(F.substring(w, 1, STEM), F.lit("*"))))))
+    stems = F.array_distinct(F.transform(F.filter("_words", lambda w: F.length(w) > STEM), lambda w: F.substring(w, 1, STEM)))
+    df = df.withColumn("_terms", F.concat("_words", F.transform(stems, lambda w: F.concat(w, F.lit("*")))))
     n = F.greatest(F.length("_t"), F.lit(1))
     return df.withColumns({
         "_upper": F.length(F.regexp_replace("_rest", r"[^\p{Lu}]+", "")) / n,
         "_marks": F.length(F.regexp_replace("_rest", r"[\p{L}\p{N}]+", "")) / n,
         "_digits": F.length(F.regexp_replace("_rest", r"[^0-9]+", "")) / n,
-        "_distinct": F.size(F.filter("_terms", lambda w: ~F.endswith(w, F.lit("*")))) / F.greatest(F.col("n_tokens"), F.lit(1)),
-    }).drop("_t", "_rest")
+        "_distinct": F.size("_words") / F.greatest(F.col("n_tokens"), F.lit(1)),
+    }).drop("_t", "_rest", "_words")
 
 
 def _telling_terms(sample: DataFrame, terms: int, least: int) -> list[str]:
