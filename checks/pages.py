@@ -4,6 +4,8 @@ The expected records come from the columns the pages were made of, so nothing of
 the extraction is repeated here.
 """
 
+import os
+
 from pyspark.sql import functions as F
 
 from checks import fixture as X
@@ -143,7 +145,31 @@ def _page_id():
 def _single_files(spark, sf_dir):
     """Every real page written as a file of its own; the folders."""
     base = work_folder(spark, "files")
-    X.spark_sql(spark, sf_dir, "SELECT page_id, html FROM {pages}").repartition("page_id").write.partitionBy("page_id").text(base)
+    rows = X.spark_sql(spark, sf_dir, "SELECT page_id, html FROM {pages}").repartition("page_id")
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme() != "file":
+        rows.write.partitionBy("page_id").text(base)
+        return base + "/page_id=*"
+    folder = path.toUri().getPath()
+
+    # The same folders and files, from the tasks: Hadoop's local file system starts a process for each of them.
+    def write(batches):
+        last, out = None, None
+        for batch in batches:
+            for page_id, html in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist()):
+                name = "__HIVE_DEFAULT_PARTITION__" if page_id is None else str(page_id)
+                if name != last:
+                    if out:
+                        out.close()
+                    os.makedirs(f"{folder}/page_id={name}", exist_ok=True)
+                    last, out = name, open(f"{folder}/page_id={name}/part-0.txt", "wb")
+                out.write((html or b"") + b"\n")
+            yield batch.select(["page_id"])
+        if out:
+            out.close()
+
+    raw = rows.select(F.col("page_id").cast("bigint"), F.col("html").cast("binary")).sortWithinPartitions("page_id")
+    raw.mapInArrow(write, "page_id bigint").agg(F.count("*")).collect()
     return base + "/page_id=*"
 
 

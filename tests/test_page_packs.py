@@ -1,6 +1,7 @@
 """Pages in packs against the same pages as single files."""
 
 import glob
+from pathlib import Path
 
 import pytest
 
@@ -117,3 +118,15 @@ def test_stream_takes_every_pack_once(spark, folder, tmp_path):
     PP.pack_pages(spark, str(folder), packs)
     again, more = run()
     assert again == 31 and {b: n for b, n in more.items() if b not in batches} == {max(batches) + 1: 1}
+
+
+def test_single_files_are_written_without_a_process_for_each(spark, tmp_path):
+    from checks.pages import _single_files
+
+    pages = [(1, "one"), (2, "two"), (2, "two again"), (3, None), (10, "zehn ü"), (None, "nobody")]
+    spark.createDataFrame(pages, "page_id BIGINT, html STRING").write.parquet(str(tmp_path / "pages.parquet"))
+    folder = Path(_single_files(spark, str(tmp_path))).parent
+    found = {f.parent.name.split("=")[1]: sorted(f.read_text().splitlines()) for f in folder.rglob("*") if f.is_file() and f.name != "_SUCCESS"}
+    assert found == {"1": ["one"], "2": ["two", "two again"], "3": [""], "10": ["zehn ü"], "__HIVE_DEFAULT_PARTITION__": ["nobody"]}
+    # Hadoop's checksum files, one more file for each page, are not there.
+    assert not list(folder.rglob("*.crc"))
