@@ -217,20 +217,52 @@ def score_block(q: QueryBlock, block: pa.Table, k: int, dim: int, digits: int |
     return pa.concat_tables(hits_in(q, catalog_block(block, dim, payload), k, digits))
 
 
-def best_per_query(batches, c: CatalogBlock, keys: list[str], off: tuple[float, float], k: int, dim: int, digits: int | None, columns: list[str],
-                   first: int | None = None):
-    """Feed a stream of queries, yield each one's k best rows of the block with their place; with `first`, of these
-    no more than that many and those that equal the last one in score."""
+def best_of_blocks(q: QueryBlock, blocks: list[CatalogBlock], k: int, digits: int | None):
+    """(query number, `__at`, score) of each query's k best rows of all blocks, best first. What a block gave is the floor
+    of the next. Of several blocks, rows that equal the k-th one in score stay too, as ids are not compared here."""
+    found = None
+    for block in blocks:
+        rows, cols, values = best_rows(q, block, k, digits)
+        at = block.columns.column("__at").to_numpy()[cols]
+        if found is not None:
+            rows, at, values = (np.concatenate(x) for x in zip(found, (rows, at, values)))
+            order = np.lexsort((-values, rows))
+            rows, at, values = cut_to(k, rows[order], at[order], values[order])
+        found = rows, at, values
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        last = place == k - 1
+        q.floor[rows[last]] = np.maximum(q.floor[rows[last]], values[last])
+    return found
+
+
+def cut_to(n: int, rows: np.ndarray, at: np.ndarray, values: np.ndarray):
+    """The first n hits of each query, and those that equal the n-th one in score."""
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    last = np.arange(len(rows)) - place + n - 1
+    kept = (place < n) | (values == values[np.minimum(last, len(rows) - 1)])
+    return rows[kept], at[kept], values[kept]
+
+
+def packed_best(batches, blocks: list[CatalogBlock], keys: list[str], off: tuple[float, float], k: int, dim: int, digits: int | None,
+                schema: pa.Schema, first: int | None = None):
+    """Feed a stream of queries, yield a row for each one that finds something: its keys, and as lists `__at` and score of its best
+    rows of all blocks; with `first`, of these no more than that many and those that equal the last one in score.
+    Where the schema has whole numbers for scores, which are rounded then, these count units of the last digit."""
+    in_units = pa.types.is_integer(schema.types[-1].value_type)
+    widest = max((min(len(c.rows), PIECE_ROWS) for c in blocks), default=1)
+    step = max(1, CELLS_AT_ONCE // max(1, widest, 2 * k))
     for batch in batches:
         q = query_block(pa.Table.from_batches([batch]), keys, dim, off)
-        for hits in hits_in(q, c, k, digits):
-            q_no = hits.column("q_no").to_numpy()
-            place = np.arange(len(q_no)) - np.searchsorted(q_no, q_no)
-            hits = hits.append_column("place", pa.array(place + 1, pa.int32()))
-            if first is not None:
-                scores, last = hits.column("score").to_numpy(), np.arange(len(q_no)) - place + first - 1
-                hits = hits.filter(pa.array((place < first) | (scores == scores[np.minimum(last, len(q_no) - 1)])))
-            yield from with_query_keys(hits, q, columns).to_batches(max_chunksize=OUT_ROWS)
+        for start in range(0, len(q.vectors), step):
+            hits = best_of_blocks(part_of(q, slice(start, start + step)), blocks, k, digits)
+            rows, at, values = hits if first is None else cut_to(first, *hits)
+            if in_units:
+                values = np.rint(values * 10.0 ** digits).astype(np.int32)
+            who, begins = np.unique(rows, return_index=True)
+            ends = pa.array(np.append(begins, len(rows)), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (at, values)]
+            columns = [c.combine_chunks() for c in q.keys.take(pa.array(who + start)).columns]
+            yield pa.RecordBatch.from_arrays([x.cast(t) for x, t in zip(columns + lists, schema.types)], schema=schema)
 
 
 def keep_best(hits: pa.Table, q: QueryBlock, k: int) -> pa.Table:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from nearshelf.functions import blocks as B
 from nearshelf.functions.vectors import cosine
 from nearshelf.operators import search as S
+from nearshelf.operators.candidates import merge_candidates
 from nearshelf.operators.cells import cosine_topk_cells, write_cells
 
 DIM = 8
@@ -299,3 +300,41 @@ def test_chunks_read_a_kept_catalog(spark, data):
     got = S.cosine_topk(queries, derived, 9, dim=DIM, digits=6, method="chunks", broadcast_bytes=6_000, seed_share=8).collect()
     assert {(r.query_id, r.variant_no, r.rank, r.id) for r in got} == brute_force(vectors, prices, q, 9)
     assert seen.value == 701
+
+
+@pytest.mark.parametrize("digits", [6, None])
+def test_hits_of_queries_that_stay_are_exchanged_once_and_narrow(spark, data, digits):
+    """Their places and scores go to the query's task as lists; merging and choosing exchange nothing more."""
+    vectors, prices, q, catalog, queries = data
+    payload = ("name", "price")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "100")
+    try:
+        found = S.cosine_topk(queries, catalog, 9, dim=DIM, digits=digits, payload=payload, method="passes", broadcast_bytes=12_000)
+        merged = merge_candidates(found, payload)
+        plan = merged._jdf.queryExecution().executedPlan().toString().split("\n")
+        rows = found.collect()
+        assert len(merged.collect()) == len({(r.query_id, r.id) for r in rows})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    exchanged = [n for n, line in enumerate(plan) if "Exchange hashpartitioning" in line]
+    assert len(exchanged) == 1 and "MapInArrow" in plan[exchanged[0] + 1] + plan[exchanged[0] + 2]
+    assert not any("name" in line for line in plan[exchanged[0]:exchanged[0] + 3])
+    if digits:
+        assert {(r.query_id, r.variant_no, r.rank, r.id) for r in rows} == brute_force(vectors, prices, q, 9)
+    assert all((r.name, r.price) == ("n" + str(int(r.id[1:])), prices[int(r.id[1:])]) for r in rows)
+
+
+def test_more_chunks_than_travel_at_once(spark, data, monkeypatch):
+    """A search in several passes, whose first ones set the bars."""
+    vectors, prices, q, catalog, queries = data
+    monkeypatch.setattr(S, "CHUNKS_AT_ONCE", 2)
+    for digits, rank in ((6, None), (None, None), (6, 1)):
+        if rank:
+            monkeypatch.setattr(S.blocks, "guessed_rank", lambda k, share: rank)
+        monkeypatch.setattr(S, "PAYLOAD_BYTES", 0 if digits is None else 1 << 20)
+        got = S.cosine_topk(queries, catalog, 9, dim=DIM, digits=digits, payload=("name",), method="passes", broadcast_bytes=6_000).collect()
+        if digits:
+            assert {(r.query_id, r.variant_no, r.rank, r.id) for r in got} == brute_force(vectors, prices, q, 9)
+        assert all(r.name == "n" + str(int(r.id[1:])) for r in got)
+        assert len(got) == len(brute_force(vectors, prices, q, 9))
