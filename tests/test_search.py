@@ -10,7 +10,7 @@ from nearshelf.functions.vectors import cosine
 from nearshelf.operators import search as S
 from nearshelf.operators.candidates import first_per_key, merge_candidates
 from nearshelf.operators.cells import cosine_topk_cells, write_cells
-from nearshelf.operators.diversify import diversify
+from nearshelf.operators.diversify import diversify, select_diverse
 
 DIM = 8
 
@@ -341,7 +341,8 @@ def test_more_chunks_than_travel_at_once(spark, data, monkeypatch):
         assert len(got) == len(brute_force(vectors, prices, q, 9))
 
 
-@pytest.mark.parametrize("after", [lambda c, base: first_per_key(c, base), lambda c, base: diversify(c, 6)])
+@pytest.mark.parametrize("after", [lambda c, base: first_per_key(c, base), lambda c, base: diversify(c, 6),
+                                   lambda c, base: select_diverse(c, base.select("query_id", F.col("base_name").alias("name"), F.lit("b").alias("brand")), 6)])
 def test_candidates_are_chosen_where_their_hits_arrive(spark, data, after):
     """Hits travel once on a wide cluster too, and no column of their items with them."""
     *_, catalog, queries = data
